@@ -1,10 +1,76 @@
-"""The training-data pipeline over `documents`."""
+"""The training-data pipeline over `documents`: reject toxic documents, keep one of each group of near-duplicates, remove
+personal data, mix the sources to target weights, and pack the result into sequences.
+
+Every stage gets the table that the stage before it wrote, works on all of it, and returns a plan; `run` writes each
+result as Parquet in the shared folder and rereads it, so a lost executor costs part of one stage. All stages but the
+last return the columns of `documents`: doc_id, text, lang, source, n_chars.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chapterloom.llm import common, mixing, packing, pii, simhash, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; a null text scores as empty and stays null."""
+    labels = common.table(spark, sf_dir, "labels")
+    return toxicity.score(docs, labels, keep=COLUMNS[1:]).where(F.col("predicted") == 0).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group. Rows that share an id are one document here and stay together."""
+    others = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped"))
+    return docs.join(others, F.col("doc_id") == F.col("dropped"), "left_anti").select(*COLUMNS)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with marks in place of personal data and of the terms that disclose it; n_chars is counted anew."""
+    found = pii.find(docs, keep=COLUMNS[1:])
+    changed = F.size("spans") > 0
+    text = F.when(changed, pii.replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: whole copies, then the words taken of a last one. Documents of which
+    nothing is taken go; a document without words counts as taken if its source has a whole epoch."""
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), "size", "taken", "epochs")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.least(F.col("epochs"), F.lit(1))).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("m_id"))).withColumns({"whole": whole, "rest": rest})
+    # `part` is 0 for a whole copy, else the words to keep.
+    parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("whole")), F.when(F.col("rest") > 0, F.array(F.col("rest").cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)")))
+    copies = joined.withColumn("part", F.explode(parts))
+    head = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', part, '}+'), 0)")
+    text = F.when(F.col("part") > 0, head).otherwise(F.col("text"))
+    return copies.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("part") > 0, F.length(head).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("personal data", remove_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The scores, XXH64 fingerprints and token ids of the stages are outside SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over `documents`."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
