@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lm, mixing, packing, pii, simhash, token_counts, topk, toxicity
+from . import fingerprints, lm, mixing, packing, pii, simhash, suffix_dedup, token_counts, topk, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_section_tokens": op6_section_tokens,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_disclosing_terms": op9_disclosing_terms,
     "op10_toxicity": op10_toxicity,
 }
