@@ -1 +1 @@
-
+"""Column builders: pure expressions, planned and compiled by Catalyst."""
