@@ -8,14 +8,17 @@ blank (where that cut is not safe) is encoded whole.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+from array import array
 
 import numpy as np
 
 UNSAFE = re.compile(r"\s ")
-#: Units kept by a Python worker; beyond it the cache starts anew (memory only: results do not depend on it).
-CACHE_UNITS = 700_000
+#: Units in a Python worker's cache; beyond it they become the old half, of which only what is met again stays. This is
+#: a bound on memory only: results do not depend on it.
+CACHE_UNITS = 400_000
 
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
@@ -26,6 +29,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_alphabet() -> str:
+    """The character that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(other)) for b in range(256))
+
+
+BYTES = _byte_alphabet()
+
+
 class UnitEncoder:
     """ids(texts) gives each text's ids as little-endian bytes of `dtype`; spans(texts) also gives character ends."""
 
@@ -36,21 +49,44 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.tokenizer.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.offsets = offsets
         self.cache: dict[str, object] = {}
+        self.old: dict[str, object] = {}
         self.stops: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list:
+        """The value of each text, in order: words by the model alone, the others by the whole tokenizer."""
+        out: list = [None] * len(texts)
+        others = []
+        model, kind = self.model, self.code
+        for i, text in enumerate(texts):
+            word = text[1:] if text[:1] == " " else text
+            if not word.isalpha() or self.offsets and not word.isascii():
+                others.append(i)
+            elif self.offsets:
+                found = model.tokenize(text.replace(" ", BYTES[32]))
+                # The model counts bytes, and the character for a blank has two.
+                out[i] = np.maximum(np.array([x.offsets for x in found], np.int32).reshape(-1, 2).T - (text[0] == " "), 0)
+            else:
+                found = model.tokenize(codecs.charmap_decode(text.encode(), "strict", BYTES)[0])
+                out[i] = array(kind, [x.id for x in found]).tobytes()
+        rest = [texts[i] for i in others]
         if self.offsets:
-            return [_spans(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            values = [_spans(e) for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)] if rest else []
+        else:
+            values = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        for i, value in zip(others, values, strict=True):
+            out[i] = value
+        return out
 
     def _units(self, texts: list[str]) -> list[list[str] | None]:
         """The units of each text (None: encode it whole), all of them then in the cache."""
         cut = []
         missing: set[str] = set()
         if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         known = self.cache.keys()
         for text in texts:
             if UNSAFE.search(text):
@@ -60,7 +96,9 @@ class UnitEncoder:
             missing.update(u for u in units if u not in known)
             cut.append(units)
         if missing:
-            new = list(missing)
+            again = missing & self.old.keys()
+            self.cache.update((u, self.old[u]) for u in again)
+            new = list(missing - again)
             if self.offsets:
                 self.cache.update(zip(new, self._encode(new), strict=True))
             else:
