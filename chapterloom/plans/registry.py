@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events
+from . import events, glossary
 
 FLAGSHIP = "stage_summary"
-MODULES = (events,)
+MODULES = (events, glossary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
