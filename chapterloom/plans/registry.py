@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, glossary
+from . import events, glossary, graph, narrative
 
 FLAGSHIP = "stage_summary"
-MODULES = (events, glossary)
+MODULES = (events, glossary, narrative, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
