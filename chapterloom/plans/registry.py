@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, glossary, graph, narrative
+from . import events, glossary, graph, ingest, narrative, packets
 
-FLAGSHIP = "stage_summary"
-MODULES = (events, glossary, narrative, graph)
+FLAGSHIP = "chapter_packet_overview"
+MODULES = (events, glossary, narrative, graph, packets, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
