@@ -120,3 +120,32 @@ def mix(
         .select(*columns, (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("before")))).alias("taken"))
     )
     return whole.unionByName(cut)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), k AS (
+  SELECT doc_id, source, size,
+    round(greatest(CAST(0.25 AS DOUBLE), CAST(2 AS DOUBLE) * (CAST(len(list_distinct(string_split(text, chr(10)))) AS DOUBLE) / len(string_split(text, chr(10))))
+      * CASE WHEN CAST(length(text) AS DOUBLE) / greatest(size, 1) BETWEEN 3 AND 12 THEN CAST(1 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END), 6) AS quality,
+    (CAST(CAST('0x' || left(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || ':20'), 12) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS u
+  FROM d
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM k GROUP BY source
+), l AS (
+  SELECT *, CAST(2 AS DOUBLE) * source_size AS stop, CAST(2 AS DOUBLE) * source_size / weight AS ratio, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s
+), w AS (
+  SELECT *, (total - coalesce(sum(stop) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l
+), t AS (
+  SELECT source, source_size, weight, least(stop, coalesce((SELECT max(level) FROM w WHERE level <= ratio) * weight, stop)) AS target FROM w
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+), c AS (
+  SELECT doc_id, size, k.source, source_size, target, epochs, weight, CAST(floor(target - epochs * source_size) AS BIGINT) AS rest,
+    CAST(sum(size) OVER (PARTITION BY k.source ORDER BY -ln(u) / quality, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size, rest - before)) AS taken, source, epochs, weight FROM c
+"""

@@ -67,4 +67,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_impact": topk.ORACLE,
+    "op4_mix_sources": mixing.ORACLE,
 }

@@ -65,12 +65,13 @@ def test_chunks_and_long_texts(spark, monkeypatch):
     check(spark, [(1, long), (0, long[5000:5200] + "new" + long[:100]), (5, "x" + long[100:])])
 
 
-def test_disk_backed_queues_give_the_sorted_suffixes():
+def test_disk_backed_queues_give_the_sorted_suffixes(monkeypatch):
     rng = np.random.default_rng(1)
     contexts = rng.integers(1, 4, (200, 12)).astype(np.int16)
     contexts[50:90] = contexts[:40]
     contexts[:20, 9:] = 0
-    for limit in (10, 1_000_000):
+    for limit, batch in ((10, 7), (10, 1 << 16), (1_000_000, 64)):
+        monkeypatch.setattr(sd, "BATCH", batch)
         for start, queues in sd.sorted_suffixes(contexts, 11, limit):
             tuples = np.concatenate(list(queues.read()))
             suffixes = [tuple(contexts[c, start:]) for c in tuples["context"]]
