@@ -58,7 +58,9 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 #: Marks that can be a word's first letter when one of them stands before it.
 FIRST = "$@!|+€£"
 ODD = re.compile(r"[^" + LETTERS + r"]|(.)\1\1")
-CACHE_WORDS = 700_000
+#: Words whose weights (features, in training) a worker remembers, and counts that it holds before it gives them on: bounds
+#: on memory only, results do not depend on them.
+CACHE_WORDS, CACHE_FEATURES, HELD_COUNTS = 300_000, 40_000, 150_000
 
 
 # ---------------------------------------------------------------- character model
@@ -258,6 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
                 words = text.split()
                 for raw in {*words, *spaced_words(words)}:
                     if raw not in memo:
+                        if len(memo) > CACHE_FEATURES:
+                            memo.clear()
                         memo[raw] = features(decoder.word(raw.lower()))
                     found.update(memo[raw])
                 for f in found:
@@ -266,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
                     if at is None:
                         at = counts[key] = [0, 0]
                     at[1 if label else 0] += 1
-                if len(counts) > 400_000:
+                if len(counts) > HELD_COUNTS:
                     yield _counts(counts)
                     counts = {}
         yield _counts(counts)
