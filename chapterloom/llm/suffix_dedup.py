@@ -2,6 +2,8 @@
 
 A byte of a document goes if it lies in a `length`-byte string that also starts in a document with a smaller doc_id.
 
+0. Copies. A text that equals that of a smaller doc_id goes whole (if it has `length` bytes) and is not compared: what
+   it holds, the first one holds too.
 1. Anchors. Any two equal strings of `length` bytes hold the same `GRAM`-byte minimizers at the same places, so only
    minimizers (about a tenth of all positions) are compared first. Their hashes are dealt by value, and a hash that
    occurs in two documents or more marks its anchors.
@@ -17,7 +19,7 @@ A byte of a document goes if it lies in a `length`-byte string that also starts
 
 Step 1 only leaves out what cannot repeat; hash collisions there cost time, not results, as step 3 compares bytes.
 
-Scale: documents travel in compressed chunks. Every shuffle holds one row per (chunk, shard). A shard's memory is
+Scale: documents lie in compressed chunks in a bucketed table and do not move after that. Every shuffle holds one row per (chunk, shard). A shard's memory is
 set by the number of shuffle partitions, its queues are bounded and spill to the task's own temporary folder.
 """
 
@@ -25,10 +27,12 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,9 +42,11 @@ from . import common
 
 LENGTH, GRAM = 50, 30
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Tuples that a sort's queues keep in memory before they go to disk.
 QUEUE_TUPLES = 4_000_000
+#: Tuples that are dealt at a time.
+BATCH = 1 << 16
 NONE = np.iinfo(np.int64).max  # a null doc_id comes last
 
 
@@ -61,7 +67,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of every `gram` bytes: differences of a running polynomial, moved to one power, then mixed."""
+    """A 48-bit hash of every `gram` bytes: differences of a running polynomial, moved to one power, then mixed."""
     n = len(data)
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
@@ -77,7 +83,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return h
+    return h & np.uint64((1 << 48) - 1)
 
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +102,8 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
 class Chunk:
     """The documents of a chunk as one array of bytes; work goes document by document."""
 
-    def __init__(self, ids: bytes, sizes: bytes, blob: bytes):
+    def __init__(self, ids: bytes, sizes: bytes, blob: bytes, copies: list[int] | None = None):
+        self.copies = frozenset(copies or ())  # numbers of documents that equal an earlier one: nothing is compared
         self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -108,8 +115,8 @@ class Chunk:
     def anchored(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document number, position in the chunk, hash) of all anchors, by document, then position."""
         at, hashes = [], []
-        for (_, data), start in zip(self, self.starts.tolist(), strict=True):
-            p, h = anchors(data, length, gram)
+        for number, ((_, data), start) in enumerate(zip(self, self.starts.tolist(), strict=True)):
+            p, h = anchors(data[:0] if number in self.copies else data, length, gram)
             at.append(p + start)
             hashes.append(h)
         position = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -121,6 +128,16 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Six bytes a hash."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return np.concatenate((six, np.zeros((len(six), 2), np.uint8)), axis=1).view("<u8").ravel()
+
+
 def _by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     """(shard, indices) of the shards that occur, indices ascending."""
     order = np.argsort(shard, kind="stable")
@@ -153,69 +170,105 @@ class Queues:
                         self.file.write(p.tobytes())
             self.held = 0
 
-    def read(self) -> Iterator[tuple[int, np.ndarray]]:
-        for value, parts in enumerate(self.parts):
+    def read(self) -> Iterator[np.ndarray]:
+        """All tuples by value, then arrival, in batches."""
+        batch, size = [], 0
+        for parts in self.parts:
             for p in parts:
                 if not isinstance(p, np.ndarray):
                     self.file.seek(p[0])
                     p = np.frombuffer(self.file.read(p[1] * self.TUPLE.itemsize), self.TUPLE)
-                yield value, p
+                batch.append(p)
+                size += len(p)
+                if size >= BATCH:
+                    yield np.concatenate(batch)
+                    batch, size = [], 0
+        if batch:
+            yield np.concatenate(batch)
         if self.file:
             self.file.close()
 
 
-def sorted_suffixes(contexts: np.ndarray, last: int, limit: int = QUEUE_TUPLES) -> Iterator[tuple[int, Queues]]:
-    """(start, queues) for start = last, last - 1, ... 0: the suffixes from `start` of all contexts (m x width, values
-    0 to 256), in order, with their common prefixes with the one before. The queues of a start must be read by the caller."""
+class RangeLeast:
+    """Least value of any range of an array, from tables of doubling ranges."""
+
+    def __init__(self, values: np.ndarray):
+        self.tables, width = [values], 1
+        while 2 * width <= len(values):
+            last = self.tables[-1]
+            self.tables.append(np.minimum(last[:-width], last[width:]))
+            width *= 2
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each pair, the least of values[low : high]; low < high."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        out = np.empty(len(low), self.tables[0].dtype)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k)])
+        return out
+
+
+def sorted_suffixes(contexts: np.ndarray, last: int, limit: int = QUEUE_TUPLES) -> Iterator[tuple[int, _Tee]]:
+    """(start, tuples) for start = last, last - 1, ... 0: the suffixes from `start` of all contexts (m x width, values
+    0 to 256), in order, with their common prefixes with the one before. The caller must read all of a start's tuples."""
     m, width = contexts.shape
     first = np.zeros(m, Queues.TUPLE)
     first["context"] = np.arange(m)
-    source: Iterator[tuple[int, np.ndarray]] = iter([(0, first)])
+    source: Iterator[np.ndarray] = iter([first])
     for start in range(width - 1, -1, -1):
         queues = Queues(limit)
-        since = np.full(257, -1, np.int64)  # least common prefix since the last tuple of a queue; -1: none yet
-        column = contexts[:, start]
-        for _, whole in source:
-            for at in range(0, len(whole), 1 << 17):
-                part = whole[at : at + (1 << 17)]
-                values = column[part["context"]]
-                prefix = part["prefix"].astype(np.int64)
-                order = np.argsort(values, kind="stable")
-                cuts = np.flatnonzero(np.diff(values[order])) + 1
-                least = prefix.min()
-                seen = []
-                for own in np.split(order, cuts):
-                    value = int(values[own[0]])
-                    seen.append(value)
-                    starts = np.concatenate(([0], own[:-1] + 1))
-                    low = np.minimum.reduceat(prefix[: own[-1] + 1], starts)
-                    low[0] = -1 if since[value] < 0 else min(low[0], since[value])
-                    out = np.empty(len(own), Queues.TUPLE)
-                    out["context"], out["prefix"] = part["context"][own], low + 1
-                    queues.push(value, out)
-                    rest = prefix[own[-1] + 1 :]
-                    since[value] = rest.min() if len(rest) else np.iinfo(np.int64).max
-                others = np.ones(257, bool)
-                others[seen] = False
-                since[others] = np.where(since[others] < 0, -1, np.minimum(since[others], least))
+        # Least common prefix since the last tuple of a queue; -1: it has none yet.
+        since = np.full(257, -1, np.int64)
+        column = np.ascontiguousarray(contexts[:, start])
+        for whole in source:
+            for at in range(0, len(whole), BATCH):
+                _deal(whole[at : at + BATCH], column, queues, since)
         if start <= last:
-            kept = Queues(limit)
-            yield start, _Tee(queues, kept)
-            source = kept.read()
+            tee = _Tee(queues, limit)
+            yield start, tee
+            source = tee.again.read()
         else:
             source = queues.read()
 
 
+def _deal(part: np.ndarray, column: np.ndarray, queues: Queues, since: np.ndarray) -> None:
+    """Push a batch of tuples, in order, to the queues of the values one place further left. The common prefix with the
+    tuple before in the same queue is one more than the least since that tuple."""
+    values = column[part["context"]]
+    prefix = part["prefix"].astype(np.int64)
+    order = np.argsort(values, kind="stable")
+    sorted_ = values[order]
+    heads = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1))
+    before = np.concatenate(([-1], order[:-1]))
+    before[heads] = -1
+    least = RangeLeast(prefix)
+    low = least(before + 1, order + 1)
+    seen = sorted_[heads].astype(np.int64)
+    low[heads] = np.where(since[seen] < 0, -1, np.minimum(low[heads], since[seen]))
+    out = np.empty(len(order), Queues.TUPLE)
+    out["context"], out["prefix"] = part["context"][order], low + 1
+    for value, own in zip(seen.tolist(), np.split(out, heads[1:]), strict=True):
+        queues.push(value, own)
+    ends = order[np.concatenate((heads[1:], [len(order)])) - 1] + 1
+    rest = np.full(len(seen), np.iinfo(np.int64).max)
+    open_ = ends < len(prefix)
+    rest[open_] = least(ends[open_], np.full(int(open_.sum()), len(prefix)))
+    known = since >= 0
+    since[known] = np.minimum(since[known], prefix.min())
+    since[seen] = rest
+
+
 class _Tee:
-    """Queues that are copied while they are read, so the next place can be induced from them."""
+    """The tuples of a start, kept while they are read, so the next start can be induced from them."""
 
-    def __init__(self, queues: Queues, copy: Queues):
-        self.queues, self.copy = queues, copy
+    def __init__(self, queues: Queues, limit: int):
+        self.queues, self.again = queues, Queues(limit)
 
     def read(self) -> Iterator[np.ndarray]:
-        for value, part in self.queues.read():
-            self.copy.push(value, part)
-            yield part
+        for batch in self.queues.read():
+            self.again.push(0, batch)
+            yield batch
 
 
 def repeats(contexts: np.ndarray, documents: np.ndarray, length: int, limit: int = QUEUE_TUPLES) -> np.ndarray:
@@ -365,10 +418,26 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
         if ids:
             yield given()
 
-    chunks = common.materialise(plain.mapInArrow(chunked, "chunk long, ids binary, nulls binary, sizes binary, blob binary"), "repeats-chunks")
+    # A bucketed table: what comes back to chunks is joined to them where they lie, without moving text again.
+    name = f"repeats_chunks_{uuid.uuid4().hex}"
+    plain.mapInArrow(chunked, "chunk long, ids binary, nulls binary, sizes binary, blob binary").write.format("parquet").bucketBy(shards, "chunk").option("path", f"{common.shared_dir(spark)}/{name}").saveAsTable(name)
+    whole = spark.table(name)
 
     def opened(batch: pa.RecordBatch, i: int) -> Chunk:
-        return Chunk(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "blob")))
+        return Chunk(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "blob", "copies")))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "blob")))
+                digests = [xxhash.xxh3_128_digest(data.tobytes()) for _, data in chunk]
+                n = len(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(chunk.ids), pa.array(digests, pa.binary())], names=["c_chunk", "number", "doc", "digest"])
+
+    texts = common.materialise(whole.select("chunk", "ids", "sizes", "blob").mapInArrow(digested, "c_chunk long, number int, doc long, digest binary"), "repeats-texts")
+    firsts = texts.groupBy(F.col("digest").alias("f_digest")).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = texts.join(firsts, F.col("digest") == F.col("f_digest")).where(F.col("doc") > F.col("first")).groupBy("c_chunk").agg(F.collect_list("number").alias("copies"))
+    chunks = whole.join(common.materialise(copies, "repeats-copies"), F.col("chunk") == F.col("c_chunk"), "left").drop("c_chunk")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,7 +449,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                 h = h[np.concatenate(([True], (n[1:] != n[:-1]) | (h[1:] != h[:-1])))] if len(h) else h
                 h = h[np.concatenate(([True] * min(2, len(h)), h[2:] != h[:-2]))]
                 rows = [(s, h[at]) for s, at in _by_shard(_shard(h, shards), shards)]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["chunk", "shard", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([_packed(x) for _, x in rows], pa.binary())], names=["chunk", "shard", "hashes"])
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per chunk, its hashes in this shard that occur in two documents or more."""
@@ -388,7 +457,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
         for batch in batches:
             chunk_of += batch.column("chunk").to_pylist()
             shard_of += batch.column("shard").to_pylist()
-            sets += [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
+            sets += [_unpacked(x) for x in batch.column("hashes").to_pylist()]
         if not sets:
             return
         every = np.sort(np.concatenate(sets))
@@ -399,7 +468,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
             at = np.searchsorted(twice, own)
             hit = own[twice[np.minimum(at, len(twice) - 1)] == own] if len(twice) else own[:0]
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([s], pa.int32()), pa.array([hit.tobytes()], pa.binary())], names=["chunk", "shard", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([s], pa.int32()), pa.array([_packed(hit)], pa.binary())], names=["chunk", "shard", "hashes"])
 
     keys = chunks.mapInArrow(hashed, "chunk long, shard int, hashes binary").repartitionById(shards, F.col("shard"))
     marks = keys.mapInArrow(flagged, "chunk long, shard int, hashes binary").groupBy(F.col("chunk").alias("m_chunk")).agg(F.collect_list("hashes").alias("marked"))
@@ -409,7 +478,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
         """A chunk's anchors whose hashes are marked, in a fixed order."""
         chunk = opened(batch, i)
         number, position, hashes = chunk.anchored(length, gram)
-        marked = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in batch.column("marked")[i].as_py() or []] or [np.zeros(0, "<u8")]))
+        marked = np.sort(np.concatenate([_unpacked(x) for x in batch.column("marked")[i].as_py() or []] or [np.zeros(0, "<u8")]))
         if not len(marked):
             return chunk, number[:0], position[:0], hashes[:0]
         hit = marked[np.minimum(np.searchsorted(marked, hashes), len(marked) - 1)] == hashes
@@ -439,7 +508,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(own.astype("<u8").tobytes())], pa.binary())], names=["chunk", "shard", "masks"])
 
     both = chunks.join(marks, F.col("chunk") == F.col("m_chunk"))
-    contexts = both.select("chunk", "ids", "sizes", "blob", "marked").mapInArrow(sent, "chunk long, shard int, records binary").repartitionById(shards, F.col("shard"))
+    contexts = both.select("chunk", "ids", "sizes", "blob", "copies", "marked").mapInArrow(sent, "chunk long, shard int, records binary").repartitionById(shards, F.col("shard"))
     judgements = contexts.mapInArrow(judged, "chunk long, shard int, masks binary").groupBy(F.col("chunk").alias("j_chunk")).agg(F.collect_list(F.struct("shard", "masks")).alias("judged"))
     judgements = common.materialise(judgements, "repeats-judged")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
@@ -463,8 +532,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                     covered = np.zeros(len(chunk.data), bool)
                 rows = []
                 nulls = np.frombuffer(batch.column("nulls")[i].as_py(), np.uint8)
-                for (doc, data), none, start in zip(chunk, nulls.tolist(), chunk.starts.tolist(), strict=True):
-                    gone = covered[start : start + len(data)]
+                for n, ((doc, data), none, start) in enumerate(zip(chunk, nulls.tolist(), chunk.starts.tolist(), strict=True)):
+                    gone = np.full(len(data), len(data) >= length) if n in chunk.copies else covered[start : start + len(data)]
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                     kept = data[~gone].tobytes()
                     rows.append((None if none else doc, len(data), int(gone.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()], kept if keep_bytes else None))
@@ -472,7 +541,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     last = chunks.join(marks, F.col("chunk") == F.col("m_chunk"), "left").join(judgements, F.col("chunk") == F.col("j_chunk"), "left")
-    out = last.select("ids", "nulls", "sizes", "blob", "marked", "judged").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    out = last.select("ids", "nulls", "sizes", "blob", "copies", "marked", "judged").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
     return out if keep_bytes else out.drop("kept")
 
 
