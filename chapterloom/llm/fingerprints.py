@@ -13,6 +13,8 @@ together; work is linear in the number of paragraphs but for the two-level deali
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,32 +48,49 @@ def _spread(key: Column, attempt: Column | None) -> Column:
     return key if attempt is None else F.when(attempt == 0, key).otherwise(F.xxhash64(key, attempt))
 
 
-def _at(bits: Column, i: Column, side: Column, shift: Column) -> Column:
-    """Whether cell i is the position of a digest in i's subtable."""
-    return F.call_function("shiftrightunsigned", bits, shift).bitwiseAND((side - 1).cast("long")) == i % side
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a one-element array binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _place(i: Column, side: Column | int) -> Column:
+    """Of cell i: where the bits for its subtable are in a digest, their mask, and their value in it."""
+    side = F.lit(side) if isinstance(side, int) else side
+    return F.struct((F.floor(i / side) * 20).cast("int").alias("shift"), (side - 1).cast("long").alias("mask"), (i % side).cast("long").alias("value"))
 
 
-def _sum(keys: Column, i: Column, side: Column, attempt: Column | None) -> Column:
-    """Cell i of the sketch of `keys`."""
-    shift = (F.floor(i / side) * 20).cast("int")
-    own = F.filter(keys, lambda k: _at(_spread(k, attempt), i, side, shift))
+def _at(bits: Column, place: Column) -> Column:
+    return F.call_function("shiftrightunsigned", bits, place["shift"]).bitwiseAND(place["mask"]) == place["value"]
+
+
+def _sum(keys: Column, place: Column, attempt: Column | None) -> Column:
+    """One cell of the sketch of `keys`."""
+    own = F.filter(keys, lambda k: _at(_spread(k, attempt), place))
     return F.aggregate(own, _zero(), lambda c, k: _cell(c["n"] + 1, c["key"].bitwiseXOR(k), c["check"].bitwiseXOR(F.hash(k))))
 
 
 def sketch(keys: Column, side: int = SIDE) -> Column:
     """The fingerprint's cells: array of (count, key XOR, check XOR), three subtables of `side` cells."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * side - 1)), lambda i: _sum(keys, i, F.lit(side), None))
+    return F.transform(_places(F.lit(side)), lambda p: _sum(keys, p, None))
+
+
+def _places(side: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), 3 * side - 1), lambda i: _place(i, side))
+
+
+def _minus(x: Column, y: Column) -> Column:
+    return _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"]))
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
+    return F.zip_with(a, b, _minus)
 
 
 def _empty(cells: Column) -> Column:
     return F.forall(cells, lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0))
 
 
-def peeled(cells: Column, side: Column, attempt: Column | None) -> Column:
+def peeled(cells: Column, places: Column, attempt: Column | None) -> Column:
     """struct(done, plus, minus): whether peeling emptied the sketch, and the digests found on either side."""
     state = F.struct(cells.alias("cells"), F.lit(0).alias("plus"), F.lit(0).alias("minus"), F.lit(True).alias("going"))
 
@@ -79,12 +98,11 @@ def peeled(cells: Column, side: Column, attempt: Column | None) -> Column:
         return F.array_distinct(F.filter(cs, lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (F.hash(c["key"]) == c["check"])))
 
     def without(cs: Column, taken: Column) -> Column:
-        def cell(c: Column, i: Column) -> Column:
-            shift = (F.floor(i / side) * 20).cast("int")
-            own = F.filter(taken, lambda p: _at(_spread(p["key"], attempt), i, side, shift))
+        def cell(c: Column, place: Column) -> Column:
+            own = F.filter(taken, lambda p: _at(_spread(p["key"], attempt), place))
             return F.aggregate(own, c, lambda a, p: _cell(a["n"] - p["n"], a["key"].bitwiseXOR(p["key"]), a["check"].bitwiseXOR(p["check"])))
 
-        return F.transform(cs, cell)
+        return F.zip_with(cs, places, cell)
 
     def step(acc: Column, _: Column) -> Column:
         # One-element arrays bind a value that is used several times.
@@ -106,12 +124,12 @@ def _block(a: Column, b: Column) -> Column:
     first = F.struct(F.lit(False).alias("done"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
 
     def attempt(acc: Column, t: Column) -> Column:
-        side = (F.lit(SIDE) * F.pow(F.lit(2), t)).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), 3 * side - 1), lambda i: F.transform(
-            F.array(F.struct(_sum(a, i, side, t).alias("x"), _sum(b, i, side, t).alias("y"))),
-            lambda p: _cell(p["x"]["n"] - p["y"]["n"], p["x"]["key"].bitwiseXOR(p["y"]["key"]), p["x"]["check"].bitwiseXOR(p["y"]["check"])),
-        )[0])
-        return F.when(acc["done"], acc).otherwise(peeled(cells, side, t))
+        def with_places(places: Column) -> Column:
+            cells = F.transform(places, lambda p: _bind(F.struct(_sum(a, p, t).alias("x"), _sum(b, p, t).alias("y")), lambda s: _minus(s["x"], s["y"])))
+            return peeled(cells, places, t)
+
+        side = F.call_function("shiftleft", F.lit(SIDE), t)
+        return F.when(acc["done"], acc).otherwise(_bind(_places(side), with_places))
 
     tried = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), first, attempt)
     plain = F.struct(F.lit(True).alias("done"), F.size(F.array_except(a, b)).alias("plus"), F.size(F.array_except(b, a)).alias("minus"))
@@ -126,24 +144,26 @@ def _added(results: Column) -> Column:
 
 def _larger(a: Column, b: Column) -> Column:
     """struct(plus, minus) from blocks: two levels of dealing by bits 57.. and 50.. of the digests."""
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
     blocks = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)) / BLOCK_LOAD))).cast("int")
-    upper = F.least(F.lit(6), F.floor(blocks / 2)).cast("int")
-    lower = F.least(F.lit(7), blocks - upper).cast("int")
+    widths = _bind(blocks, lambda n: F.struct(F.least(F.lit(6), F.floor(n / 2).cast("int")).alias("upper"), n.alias("all")))
+    masks = _bind(widths, lambda w: F.struct(power(w["upper"]).alias("upper"), power(F.least(F.lit(7), w["all"] - w["upper"])).alias("lower")))
+    return _bind(masks, lambda m: _dealt(a, b, m))
+
 
-    def dealt(keys: Column, low: int, width: Column, number: Column) -> Column:
-        return F.filter(keys, lambda k: F.shiftrightunsigned(k, low).bitwiseAND((F.pow(F.lit(2), width) - 1).cast("long")) == number)
+def _dealt(a: Column, b: Column, masks: Column) -> Column:
+    def dealt(keys: Column, low: int, mask: Column, number: Column) -> Column:
+        return F.filter(keys, lambda k: F.shiftrightunsigned(k, low).bitwiseAND(mask) == number)
 
     def inner(pair: Column) -> Column:
-        return _added(F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2), lower) - 1).cast("int")), lambda j: F.transform(
-            F.array(F.struct(dealt(pair["a"], 50, lower, j).alias("a"), dealt(pair["b"], 50, lower, j).alias("b"))), lambda p: _block(p["a"], p["b"]))[0]))
+        return _added(F.transform(F.sequence(F.lit(0).cast("long"), masks["lower"]), lambda j: _bind(F.struct(dealt(pair["a"], 50, masks["lower"], j).alias("a"), dealt(pair["b"], 50, masks["lower"], j).alias("b")), lambda p: _block(p["a"], p["b"]))))
 
-    return _added(F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2), upper) - 1).cast("int")), lambda i: F.transform(
-        F.array(F.struct(dealt(a, 57, upper, i).alias("a"), dealt(b, 57, upper, i).alias("b"))), inner)[0]))
+    return _added(F.transform(F.sequence(F.lit(0).cast("long"), masks["upper"]), lambda i: _bind(F.struct(dealt(a, 57, masks["upper"], i).alias("a"), dealt(b, 57, masks["upper"], i).alias("b")), inner)))
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
     """struct(plus, minus): how many digests are in a only, in b only, recovered from sketches."""
-    small = peeled(subtracted(sketch_a, sketch_b), F.lit(SIDE), None)
+    small = peeled(subtracted(sketch_a, sketch_b), _places(F.lit(SIDE)), None)
     return F.transform(F.array(small), lambda r: F.when(r["done"], F.struct(r["plus"].alias("plus"), r["minus"].alias("minus"))).otherwise(_larger(a, b)))[0]
 
 
