@@ -27,7 +27,8 @@ VOCABULARY = CLASSES * MEMBERS
 UNKNOWN, OUTSIDE = 64, 0
 WIDTH = 16
 WINDOW = (-2, -1, 1, 2)
-BATCH = 16_384
+#: Tokens of a learning step, and of a scoring step.
+BATCH, SCORED = 16_384, 32_768
 SHAPES = {"embedding": (VOCABULARY, WIDTH), "position": (len(WINDOW), WIDTH), "bias": (WIDTH,), "to_class": (WIDTH, CLASSES), "class_bias": (CLASSES,), "to_member": (CLASSES, WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 EDGE = ".,;:!?\"'()[]{}|%&$*#-_«»“”„…"
 
@@ -37,6 +38,12 @@ def words(text: str) -> list[str]:
     return [w.strip(EDGE) or w for w in text.lower().split()]
 
 
+def word(raw: str) -> str:
+    """The word of one run between white space."""
+    low = raw.lower()
+    return low.strip(EDGE) or low
+
+
 class Network:
     """Parameters, loss and Adagrad steps."""
 
@@ -60,37 +67,45 @@ class Network:
         """log P of each target from its context (n x 4); with `learn`, an Adagrad step of that rate follows."""
         p = self.p
         n = len(target)
-        seen = p["embedding"][context]
-        hidden = np.tanh(np.einsum("nwd,wd->nd", seen, p["position"]) + p["bias"])
+        hidden = p["bias"] + sum(np.take(p["embedding"] * p["position"][w], context[:, w], axis=0) for w in range(len(WINDOW)))
+        np.tanh(hidden, out=hidden)
         kind, member = np.divmod(target, MEMBERS)
-        logits = hidden @ p["to_class"] + p["class_bias"]
-        chosen, soft = _log_softmax(logits, kind)
-        out = chosen
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        grads = {k: np.zeros_like(v) for k, v in p.items()} if learn else {}
+        # Biases ride along as the weights of a constant, so a product gives the logits.
+        hidden = np.concatenate((hidden, np.ones((n, 1), np.float32)), axis=1)
+        to_class = np.concatenate((p["to_class"], p["class_bias"][None, :]))
+        to_member = np.concatenate((p["to_member"], p["member_bias"][:, None, :]), axis=1)
+        out, soft = _log_softmax(hidden @ to_class, kind, bool(learn), _bounded(to_class))
+        bounded = _bounded(to_member.transpose(1, 0, 2).reshape(WIDTH + 1, -1))
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        own, members = hidden[order], member[order]
+        picked = np.empty(n, np.float32)
+        grads = {}
         if learn:
             soft[np.arange(n), kind] -= 1
-            grads["to_class"], grads["class_bias"] = hidden.T @ soft, soft.sum(axis=0)
-            back = soft @ p["to_class"].T
+            grads = {k: np.zeros_like(p[k]) for k in ("embedding", "position", "to_member", "member_bias")}
+            both = hidden.T @ soft
+            grads["to_class"], grads["class_bias"] = both[:WIDTH], both[WIDTH]
+            back = np.take(soft @ p["to_class"].T, order, axis=0)
         for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                own = hidden[rows]
-                picked, soft = _log_softmax(own @ p["to_member"][c] + p["member_bias"][c], member[rows])
-                out[rows] += picked
+            low, high = cuts[c], cuts[c + 1]
+            if low < high:
+                rows = own[low:high]
+                picked[low:high], soft = _log_softmax(rows @ to_member[c], members[low:high], bool(learn), bounded)
                 if learn:
-                    soft[np.arange(len(rows)), member[rows]] -= 1
-                    grads["to_member"][c], grads["member_bias"][c] = own.T @ soft, soft.sum(axis=0)
-                    back[rows] += soft @ p["to_member"][c].T
+                    soft[np.arange(high - low), members[low:high]] -= 1
+                    both = rows.T @ soft
+                    grads["to_member"][c], grads["member_bias"][c] = both[:WIDTH], both[WIDTH]
+                    back[low:high] += soft @ p["to_member"][c].T
+        out[order] += picked
         if learn:
-            back *= 1 - hidden * hidden
+            back *= 1 - own[:, :WIDTH] ** 2
             grads["bias"] = back.sum(axis=0)
-            grads["position"] = np.einsum("nwd,nd->wd", seen, back)
-            into = (back[:, None, :] * p["position"]).reshape(-1, WIDTH)
-            flat = context.ravel()
-            for d in range(WIDTH):
-                grads["embedding"][:, d] = np.bincount(flat, weights=into[:, d], minlength=VOCABULARY)
+            for w in range(len(WINDOW)):
+                # Sums of the error by context token serve the embeddings and the position's scale alike.
+                tokens, sums = _summed(context[order, w], back)
+                grads["embedding"][tokens] += sums * p["position"][w]
+                grads["position"][w] = (p["embedding"][tokens] * sums).sum(axis=0)
             for k, g in grads.items():
                 g = np.clip(g / np.float32(n) ** 0.5, -5, 5)
                 self.squares[k] += g * g
@@ -110,25 +125,52 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log-probability of `chosen`, and all probabilities."""
-    logits -= logits.max(axis=1, keepdims=True)
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether no input within -1 to 1 can give a logit beyond 60, so that exponentials stay finite."""
+    return bool(np.abs(weights).sum(axis=0).max() < 60)
+
+
+def _log_softmax(logits: np.ndarray, chosen: np.ndarray, all_: bool, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """log-probability of `chosen`; with `all_` also all probabilities."""
+    if not bounded:
+        np.clip(logits, -60, 60, out=logits)
     picked = logits[np.arange(len(chosen)), chosen]
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1)
-    logits /= sums[:, None]
+    sums = logits @ np.ones(logits.shape[1], np.float32)
+    if all_:
+        logits /= sums[:, None]
     return picked - np.log(sums), logits
 
 
-class Numbering:
-    """Words to numbers; a worker's memory of words outside the vocabulary is not needed, as their number is a hash."""
+def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sums of their rows)."""
+    order = np.argsort(keys.astype(np.int16), kind="stable")
+    sorted_ = keys[order]
+    heads = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1))
+    return sorted_[heads], np.add.reduceat(np.take(rows, order, axis=0), heads, axis=0)
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.known = vocabulary
+
+class Numbering:
+    """Texts to numbers. Words as they stand are remembered (a bound on memory only); those outside the vocabulary have
+    the number of their hash."""
+
+    def __init__(self, vocabulary: dict[str, int], remembered: int = 400_000):
+        self.vocabulary, self.remembered = vocabulary, remembered
+        self.known: dict[str, int] = {}
+
+    def _new(self, raw: str) -> int:
+        w = word(raw)
+        n = self.vocabulary.get(w)
+        if n is None:
+            n = 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % UNKNOWN
+        if len(self.known) >= self.remembered:
+            self.known.clear()
+        self.known[raw] = n
+        return n
 
     def __call__(self, text: str) -> np.ndarray:
-        known, crc = self.known.get, zlib.crc32
-        return np.array([n if (n := known(w)) is not None else 1 + crc(w.encode("utf-8", "surrogatepass")) % UNKNOWN for w in words(text)], np.int32)
+        known, new = self.known, self._new
+        return np.array([known[w] if w in known else new(w) for w in text.split()], np.int32)
 
 
 def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +191,14 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
         counts: Counter = Counter()
 
         def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            merged: Counter = Counter()
+            for raw, n in counts.items():
+                merged[word(raw)] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(merged), pa.string()), pa.array(list(merged.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(words(text))
+                counts.update(text.split())
             if len(counts) > 300_000:
                 yield given()
                 counts.clear()
@@ -171,13 +216,30 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     return {r.word: first + i for i, r in enumerate(top)}, counts
 
 
-def train(docs: DataFrame, known: dict[str, int], counts: np.ndarray, *, rate: float = 0.1) -> dict[str, np.ndarray]:
-    """Averaged parameters after one pass of every partition over its own documents."""
+def numbered(docs: DataFrame, known: dict[str, int]) -> DataFrame:
+    """doc_id, ids (two bytes a token) of every document, written: training and scoring read these, not the texts."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbering(known)
+        for batch in batches:
+            ids = [number(t).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    return common.materialise(plain.mapInArrow(marked, "doc_id long, ids binary"), "lm-ids")
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i2").astype(np.int32)
+
+
+def train(ids: DataFrame, counts: np.ndarray, *, rate: float = 0.1) -> dict[str, np.ndarray]:
+    """Averaged parameters after one pass of every partition of `numbered` documents over its own."""
     start = Network.initial(counts)
     size = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, number, seen, open_, held = Network(start), Numbering(known), 0, [], 0
+        network, seen, open_, held = Network(start), 0, [], 0
 
         def learn() -> int:
             context, target = windows(open_)
@@ -186,8 +248,8 @@ def train(docs: DataFrame, known: dict[str, int], counts: np.ndarray, *, rate: f
             return len(target)
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                open_.append(number(text))
+            for raw in batch.column("ids").to_pylist():
+                open_.append(_ids(raw))
                 held += len(open_[-1])
                 if held >= 4 * BATCH:
                     seen += learn()
@@ -197,7 +259,7 @@ def train(docs: DataFrame, known: dict[str, int], counts: np.ndarray, *, rate: f
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([network.flat()], pa.list_(pa.float32()))], names=["seen", "flat"])
 
-    models = docs.select(common.text_or_empty().alias("text")).mapInArrow(trained, "seen long, flat array<float>")
+    models = ids.select("ids").mapInArrow(trained, "seen long, flat array<float>")
     models = common.materialise(models, "lm-models")
     seen = models.agg(F.sum("seen")).first()[0]
     if not seen:
@@ -220,23 +282,23 @@ def score(docs: DataFrame, **training) -> DataFrame:
     differ in their last digits.
     """
     known, counts = vocabulary(docs)
-    parameters = train(docs, known, counts, **training)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    ids = numbered(docs, known)
+    parameters = train(ids, counts, **training)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, number = Network(parameters), Numbering(known)
+        network = Network(parameters)
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                documents = [number(t) for t in batch.column("text").to_pylist()]
+                documents = [_ids(raw) for raw in batch.column("ids").to_pylist()]
                 context, target = windows(documents)
-                parts = [network.forward(context[i : i + BATCH], target[i : i + BATCH]).astype(np.float64) for i in range(0, len(target), BATCH)]
+                parts = [network.forward(context[i : i + SCORED], target[i : i + SCORED]).astype(np.float64) for i in range(0, len(target), SCORED)]
                 logs = np.concatenate([*parts, np.zeros(1)])
                 lengths = np.array([len(d) for d in documents])
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 ends = np.cumsum(lengths)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths.astype(np.int64)), pa.array(sums[ends] - sums[ends - lengths])], names=["doc_id", "n_tokens", "log_likelihood"])
 
-    out = plain.mapInArrow(scored, "doc_id long, n_tokens long, log_likelihood double")
+    out = ids.mapInArrow(scored, "doc_id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select("doc_id", "n_tokens", F.round("log_likelihood", 4).alias("log_likelihood"), F.round(mean, 4).alias("mean_log_likelihood"), F.round(F.exp(-mean), 4).alias("perplexity"))
