@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                 order = np.lexsort((number, hashes))
                 n, h = number[order], hashes[order]
                 h = h[np.concatenate(([True], (n[1:] != n[:-1]) | (h[1:] != h[:-1])))] if len(h) else h
-                h = h[np.concatenate(([True] * min(2, len(h)), h[2:] != h[:-2]))]
+                h = h[np.concatenate((np.ones(min(2, len(h)), bool), h[2:] != h[:-2]))]
                 rows = [(s, h[at]) for s, at in _by_shard(_shard(h, shards), shards)]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()] * len(rows), pa.int64()), pa.array([s for s, _ in rows], pa.int32()), pa.array([_packed(x) for _, x in rows], pa.binary())], names=["chunk", "shard", "hashes"])
 

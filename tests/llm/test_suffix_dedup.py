@@ -65,6 +65,13 @@ def test_chunks_and_long_texts(spark, monkeypatch):
     check(spark, [(1, long), (0, long[5000:5200] + "new" + long[:100]), (5, "x" + long[100:])])
 
 
+def test_chunks_without_anchors(spark, monkeypatch):
+    check(spark, [(1, None), (2, ""), (3, "short"), (4, "short"), (None, "z" * 49)])
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 100)
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(300))
+    check(spark, [(i, text) for i in range(12)])
+
+
 def test_disk_backed_queues_give_the_sorted_suffixes(monkeypatch):
     rng = np.random.default_rng(1)
     contexts = rng.integers(1, 4, (200, 12)).astype(np.int16)
