@@ -3,12 +3,13 @@
 Patterns find the protected values (addresses, numbers). Information-theoretic sanitisation then adds terms: over the
 whole corpus it counts in how many documents a term and a value occur together, and measures how much of the value's
 information the term discloses, PMI(term; value) / IC(value), which is 1 when the term never occurs without the value.
-Terms at or above a threshold, seen with the value in several different texts, are marked in the documents that hold the
-value: removed if they disclose all of it, generalised otherwise.
+Terms at or above a threshold, seen with the value in `support` different texts or more, are marked: removed if they
+disclose all of the value, generalised otherwise. With `everywhere` they are marked in all documents that hold them, else
+in those that hold the value too.
 
-Scale: the text is scanned twice, once for patterns and once for the document counts of the terms that may disclose
-something. Only documents with values (a few in a hundred) are kept with their text. Equal texts collapse before terms
-are paired with values, so a group of copies costs one row.
+Scale: the text is scanned for patterns, for the document counts of the terms that may disclose something and, with
+`everywhere`, for the places of those that do. Only documents with values (a few in a hundred) are kept with their text.
+Equal texts collapse before terms are paired with values, so a group of copies costs one row.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ def _kept(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _placed(text: Column, pattern: str, kind: str, number: int) -> Column:
-    """All matches of a pattern with code-point positions: what lies between matches gives their starts."""
+def _placed(text: Column, pattern: str, kind: str, number: int, wanted=lambda value: None) -> Column:
+    """All matches of a pattern with code-point positions: what lies between matches gives their starts. With a condition
+    `wanted` only the matches that meet it: the others are never appended, so long texts with few of them are cheap."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
@@ -73,7 +75,8 @@ def _placed(text: Column, pattern: str, kind: str, number: int) -> Column:
         low = acc["at"] + F.length(x["gap"])
         high = low + F.length(x["value"])
         span = F.struct(low.alias("start"), F.lit(number).alias("kind_no"), high.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        more, condition = F.concat(acc["out"], F.array(span)), wanted(x["value"])
+        return F.struct(high.alias("at"), (more if condition is None else F.when(condition, more).otherwise(acc["out"])).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
@@ -113,8 +116,10 @@ def disclosing_terms(hits: DataFrame, texts: DataFrame, *, share: float, support
     together = pairs.select("value", "n_value", "copies", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"), F.max("n_value").alias("n_value"))
     together = common.materialise(together.where(F.col("texts") >= support), "pii-pairs")
     asked = common.materialise(together.select("term").distinct(), "pii-terms")
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    counted = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(side, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    counts = lambda terms: terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # A large side is joined to counts that have been summed map-side, so that no row a document and term is shuffled.
+    counted = counts(every.join(F.broadcast(asked), "term")) if asked.count() <= BROADCAST_TERMS else counts(every).join(asked, "term")
     total = float(max(1, texts.count()))
     information = F.log(F.lit(total) / F.col("n_value"))
     pmi = F.log(F.col("n_both") * F.lit(total) / (F.col("n_value") * F.col("n_term")))
@@ -125,40 +130,56 @@ def disclosing_terms(hits: DataFrame, texts: DataFrame, *, share: float, support
 
 def _term_spans(text: Column, told: Column, base: Column) -> Column:
     """Places of the terms in `told` (map term -> disclosure) outside base spans; the value is what replaces the term."""
-    words = F.filter(_placed(text, WORD, "term", len(KINDS)), lambda s: F.map_contains_key(told, F.lower(s["value"])))
+    words = _placed(text, WORD, "term", len(KINDS), lambda value: F.map_contains_key(told, F.lower(value)))
     free = F.filter(words, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
     return F.transform(free, lambda w: w.withField("value", F.when(F.element_at(told, F.lower(w["value"])) >= 1.0 - 1e-9, "").otherwise("[TERM]")))
 
 
-def _disclosed(hits: DataFrame, texts: DataFrame, share: float, support: int) -> DataFrame:
-    """t_key, told: for texts with disclosed values, the map of terms to mark in them."""
+def _disclosed(hits: DataFrame, texts: DataFrame, share: float, support: int, everywhere: bool) -> DataFrame:
+    """t_key, told: for texts with disclosing terms, the map of terms to mark in them."""
     told = common.materialise(disclosing_terms(hits, texts, share=share, support=support), "pii-told").withColumnRenamed("value", "t_value")
-    values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    owned = hits.select("text_key", F.explode(values).alias("value")).distinct()
-    marks = owned.join(told, F.col("value") == F.col("t_value")).groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    if everywhere:
+        worst = common.materialise(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-worst")
+        side = F.broadcast(worst) if worst.count() <= BROADCAST_TERMS else worst
+        held = texts.select(F.xxhash64("text").alias("text_key"), F.explode(_terms(F.col("text"))).alias("term"))
+        marks = held.join(side, "term").groupBy("text_key", "term").agg(F.first("disclosure").alias("disclosure"))
+    else:
+        values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+        owned = hits.select("text_key", F.explode(values).alias("value")).distinct()
+        marks = owned.join(told, F.col("value") == F.col("t_value")).groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
     return marks.groupBy(F.col("text_key").alias("t_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
 
 
-def find(docs: DataFrame, *, share: float = 0.95, support: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def find(docs: DataFrame, *, share: float = 0.95, support: int = 3, everywhere: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, base (pattern spans), spans (with the terms added), then the columns named in `keep`.
 
     Args:
         docs: doc_id long, text string; other columns are ignored unless named in `keep`, whatever their names.
         share: a term is marked if it discloses this share of the information of a value in the same document,
-        support: and occurs with that value in so many different texts.
+        support: and occurs with that value in so many different texts; 1 takes every value, however rare.
+        everywhere: whether terms are marked in every document that holds them, or only where the value is too.
     A null text counts as empty, without spans. Repeated rows and equal texts get equal spans. Spans hold code-point
     positions, end exclusive. An empty table gives no rows.
     """
     text = common.text_or_empty()
     marked = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("kept"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
     some = F.size("spans") > 0
-    light = common.materialise(marked.select("kept", "spans", F.when(some, F.col("text")).alias("text"), F.when(some, F.xxhash64("text")).alias("text_key")), "pii-base")
-    hits = light.where(F.col("text_key").isNotNull())
-    told = _disclosed(hits, docs.select(text.alias("text")), share, support)
-    added = hits.join(told, F.col("text_key") == F.col("t_key"), "left")
+    light = marked.select("kept", "spans", F.when(some, F.col("text")).alias("text"), F.when(some | F.lit(everywhere), F.xxhash64("text")).alias("text_key"))
+    light = common.materialise(light, "pii-base")
+    hits, texts = light.where(F.col("text").isNotNull()), docs.select(text.alias("text"))
+    told = _disclosed(hits, texts, share, support, everywhere)
+    if everywhere:
+        told = common.materialise(told, "pii-marks")
+        # Texts without values that hold a term: few, so they are fetched once it is known which.
+        others = told.select("t_key").join(hits.select("text_key"), F.col("t_key") == F.col("text_key"), "left_anti")
+        fetched = texts.withColumn("x_key", F.xxhash64("text")).join(others, F.col("x_key") == F.col("t_key"), "left_semi").groupBy("x_key").agg(F.first("text").alias("x_text"))
+        added = light.join(told, F.col("text_key") == F.col("t_key"), "left").join(fetched, F.col("text_key") == F.col("x_key"), "left").withColumn("text", F.coalesce("text", "x_text"))
+    else:
+        added = hits.join(told, F.col("text_key") == F.col("t_key"), "left")
     more = F.when(F.col("told").isNotNull(), _term_spans(F.col("text"), F.col("told"), F.col("spans"))).otherwise(F.expr(f"cast(array() as {SPAN})"))
     out = added.select("kept", F.col("spans").alias("base"), F.sort_array(F.concat("spans", more)).alias("spans"))
-    out = out.unionByName(light.where(F.col("text_key").isNull()).select("kept", F.col("spans").alias("base"), "spans"))
+    if not everywhere:
+        out = out.unionByName(light.where(F.col("text").isNull()).select("kept", F.col("spans").alias("base"), "spans"))
     return out.select("kept.doc_id", "base", "spans", *(f"kept.{c}" for c in keep))
 
 

@@ -45,7 +45,7 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), support=1, everywhere=True))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of personal data and of the terms that disclose it; n_chars is counted anew."""
-    found = pii.find(docs, keep=COLUMNS[1:])
+    found = pii.find(docs, support=1, everywhere=True, keep=COLUMNS[1:])
     clean = found.withColumn("clean", F.when(F.size("spans") > 0, pii.replaced(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     counted = F.when(F.size("spans") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", counted).select("doc_id", F.col("clean").alias("text"), "lang", "source", "n_chars")

@@ -73,6 +73,21 @@ def test_terms_that_disclose_a_value(spark):
             assert not added  # no value, or too few different texts
 
 
+def test_terms_of_rare_values_are_marked_in_every_document(spark, tmp_path):
+    """As the query calls it: a value of one text counts, and its terms go from texts without the value too."""
+    from chapterloom.llm import queries
+
+    texts = ["Xanthippe Zyx wrote to only@one.example today"]
+    texts += [f"Quixotl wrote to boss@corp.example today {i % 3}" for i in range(8)] + ["Quixotl alone", None, ""]
+    texts += ["others wrote to plain things alone today"] * 1000
+    frame(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("term")] for r in queries.op9_disclosing_terms(spark, f"file://{tmp_path}").collect()}
+    words = {i: [(texts[i] or "")[int(a) : int(b)] for _, a, b in spans] for i, spans in found.items()}
+    assert len(found) == len(texts) and words[0] == ["Xanthippe", "Zyx"]
+    assert all(words[i] == ["Quixotl"] for i in range(1, 10))
+    assert not any(words[i] for i in range(10, len(texts)))
+
+
 def test_replaced(spark):
     texts = ["x a@b.cc y +1 234 567 8901 z", "4111111111111111", "none", ""]
     got = pii.find(frame(spark, texts), keep=("text",)).select("doc_id", pii.replaced(F.col("text"), F.col("spans")).alias("out")).collect()
