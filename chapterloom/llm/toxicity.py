@@ -52,8 +52,9 @@ BOUNDARY = len(LETTERS)
 CLASSES = BOUNDARY + 1
 #: Lengths of the word beginnings that can be in the lexicon.
 BEGINNINGS = range(3, 9)
-#: A longer run of symbols and letters (an address, a key) is decoded between its symbols.
+#: A longer run of symbols and letters (an address, a key) is decoded between its characters without a letter reading.
 LONG = 40
+UNREAD = re.compile(r"[^" + LETTERS + re.escape("".join(STANDS_FOR)) + r"]+")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„…’‘¿¡–—"
 #: Marks that can be a word's first letter when one of them stands before it.
 FIRST = "$@!|+€£"
@@ -106,7 +107,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Restores words; pure Python over short lattices, called once for each distinct odd word."""
+    """Restores words of any length; pure Python, in time linear in the length, called once for each distinct odd word."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -123,7 +124,8 @@ class Decoder:
         if not any(c.isalpha() for c in bare):
             return ""
         if len(bare) > LONG:
-            return " ".join(w for part in re.split(r"[\W_]+", bare) if len(part) <= LONG and (w := self._viterbi(part)))
+            parts = [part for part in UNREAD.split(bare) if any(c.isalpha() for c in part)]
+            return " ".join(w for part in parts if (w := self._viterbi(part) if ODD.search(part) else part))
         return self._viterbi(bare)
 
     def _viterbi(self, text: str) -> str:

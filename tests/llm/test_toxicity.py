@@ -22,6 +22,14 @@ def test_decoding(decoder):
     assert decoder.word("x" * 50 + "_1d10t") .endswith("idiot")
 
 
+def test_long_words_are_decoded(decoder):
+    assert decoder.word("id" + "i" * 45 + "ot") == "idiot"
+    joined = "$tup1d" * 8
+    assert len(joined) > toxicity.LONG and decoder.word(joined).startswith("stupid") and " " not in decoder.word(joined)
+    assert decoder.word("1d10t#" * 8).split() == ["idiot"] * 8
+    assert decoder.word("x" * 100_000).startswith("x")
+
+
 def test_viterbi_is_the_best_path(decoder):
     """Against all paths through short lattices."""
 
