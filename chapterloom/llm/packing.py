@@ -24,18 +24,28 @@ DIMS = 4
 BITS = 8
 HASHED = 1024
 SAMPLE_PER_PARTITION = 40
+#: Documents whose vectors are held at a time.
+DENSE = 512
 
 
 def projection(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((HASHED, DIMS)).astype(np.float32)
 
 
-def coordinates(ids: np.ndarray, project: np.ndarray) -> np.ndarray:
-    """The projected hashed term-frequency vector of one document; the empty document lies at the origin."""
-    if not len(ids):
-        return np.zeros(DIMS, np.float32)
-    counts = np.sqrt(np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22), minlength=HASHED)).astype(np.float32)
-    return (counts / np.linalg.norm(counts)) @ project
+def coordinates(encoded: tokens.Encoded, project: np.ndarray) -> np.ndarray:
+    """The projected hashed term-frequency vector of each document; one without ids lies at the origin."""
+    n = len(encoded.counts)
+    out = np.zeros((n, DIMS), np.float32)
+    ends = np.cumsum(encoded.counts)
+    for at in range(0, n, DENSE):
+        counts = encoded.counts[at : at + DENSE]
+        ids = encoded.ids[ends[at] - counts[0] : ends[at + len(counts) - 1]]
+        bins = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - HASHED.bit_length() + 1)
+        bins = bins.astype(np.int32) + np.repeat(np.arange(len(counts), dtype=np.int32) * HASHED, counts)
+        held = np.sqrt(np.bincount(bins, minlength=len(counts) * HASHED).astype(np.float32)).reshape(-1, HASHED)
+        length = np.sqrt(counts.astype(np.float32))  # the squares of the roots add up to the number of ids
+        out[at : at + DENSE] = (held @ project) / np.maximum(length, 1)[:, None]
+    return out
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -72,12 +82,10 @@ def curve_key(coords: np.ndarray, spread: np.ndarray, edges: np.ndarray) -> np.n
     return (hilbert(cells) << 31) | (spread & 0x7FFFFFFF)
 
 
-def _encoded(batch: pa.RecordBatch, path: str, project: np.ndarray, eos: int) -> tuple[list[bytes], np.ndarray]:
-    encoder = tokens.encoder(path)
-    end = np.array([eos], encoder.dtype).tobytes()
-    ids = [x + end for x in encoder.ids(batch.column("text").to_pylist())]
-    coords = np.stack([coordinates(np.frombuffer(x, encoder.dtype), project) for x in ids]) if ids else np.zeros((0, DIMS), np.float32)
-    return ids, coords
+def _binary(encoded: tokens.Encoded) -> pa.Array:
+    """The ids of each document as bytes."""
+    ends = np.concatenate(([0], np.cumsum(encoded.counts))) * encoded.ids.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(encoded.counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(encoded.ids))])
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -89,6 +97,7 @@ def pack(
     docs: DataFrame,
     *,
     tokenizer_path: str | None = None,
+    special_as_text: bool = False,
     length: int = 2048,
     eos: int = 1,
     partitions: int | None = None,
@@ -98,6 +107,7 @@ def pack(
     Args:
         docs: doc_id long, text string; other columns are ignored, whatever their names.
         tokenizer_path: file for the `tokenizers` library; `eos` follows every document's ids.
+        special_as_text: whether a special token's string in a text is ordinary text and not that token.
     A null text counts as empty and still yields its end token; a null doc_id is kept as null. Repeated rows are packed
     once each. Only the last sequence of a partition can be short; it is cut at powers of two, which need no padding.
     An empty table gives no pieces.
@@ -114,14 +124,15 @@ def pack(
 
     def sampled(batches):
         for whole in batches:
-            for batch in _slices(whole):
-                _, coords = _encoded(batch, path, project, eos)
+            for batch in tokens.slices(whole):
+                coords = coordinates(tokens.encoder(path, special_as_text).encode(batch.column("text"), eos), project)
                 out = [pa.array(coords[:, d]) for d in range(DIMS)] + [batch.column("spread")]
                 yield pa.RecordBatch.from_arrays(out, names=[*(f"c{d}" for d in range(DIMS)), "spread"])
 
     total = docs.count()
     wanted = max(1000, SAMPLE_PER_PARTITION * parts)
-    sample = plain.sample(fraction=min(1.0, 1.2 * wanted / max(1, total)), seed=11).limit(2 * wanted)
+    # About `wanted` rows, encoded where they lie: their number is set by the partitions, not by the input.
+    sample = plain.sample(fraction=min(1.0, 1.2 * wanted / max(1, total)), seed=11)
     seen = sample.mapInArrow(sampled, ", ".join(f"c{d} float" for d in range(DIMS)) + ", spread long").toPandas()
     points = seen[[f"c{d}" for d in range(DIMS)]].to_numpy(np.float32)
     at = np.linspace(0, 1, (1 << BITS) + 1)[1:-1]
@@ -131,13 +142,13 @@ def pack(
 
     def placed(batches):
         for whole in batches:
-            for batch in _slices(whole):
-                ids, coords = _encoded(batch, path, project, eos)
-                key = curve_key(coords, batch.column("spread").to_numpy(zero_copy_only=False), edges)
+            for batch in tokens.slices(whole):
+                encoded = tokens.encoder(path, special_as_text).encode(batch.column("text"), eos)
+                key = curve_key(coordinates(encoded, project), batch.column("spread").to_numpy(zero_copy_only=False), edges)
                 part = np.searchsorted(bounds, key, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(key), pa.array(part)], names=["doc_id", "ids", "key", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(encoded), pa.array(key), pa.array(part)], names=["doc_id", "ids", "key", "part"])
 
-    wide = tokens.encoder(path).dtype
+    wide = tokens.encoder(path, special_as_text).dtype
     along = plain.mapInArrow(placed, "doc_id long, ids binary, key long, part int").repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id", "ids")
 
     def packed(batches):

@@ -2,6 +2,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chapterloom.llm import packing, tokens
@@ -15,19 +18,39 @@ def rows(spark, texts):
 
 def test_units_equal_whole_texts():
     whole = Tokenizer.from_file(tokens.default_path())
-    whole.encode_special_tokens = True
     texts = [t or "" for t in TEXTS] + ["Mr. Ö's 1,234.5 words...don't,, 'll.", "a.\n b", "ok, \tgo"]
-    encoder = tokens.UnitEncoder(tokens.default_path())
-    for text, raw in zip(texts, encoder.ids(texts), strict=True):
-        assert np.frombuffer(raw, encoder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
-    spans = tokens.UnitEncoder(tokens.default_path(), offsets=True)
-    for text, (starts, ends) in zip(texts, spans.spans(texts), strict=True):
-        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.encode(text, add_special_tokens=False).offsets
+    for special in (False, True):
+        encoder = tokens.BatchEncoder(tokens.default_path(), special)
+        whole.encode_special_tokens = special
+        wanted = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+        for _ in range(2):  # the second time words are known
+            found = encoder.encode(pa.array(texts), 1)
+            assert found.counts.tolist() == [len(w) + 1 for w in wanted]
+            assert found.ids.tolist() == [i for w in wanted for i in [*w, 1]]
+        widths = encoder.width[encoder.encode(pa.array(texts)).ids]
+        assert widths.sum() == sum(len(t.encode()) for t in texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abÉ7'st.,\n\t\u3000\x85 🙂", max_size=40), max_size=6))
+def test_any_texts(texts):
+    encoder = tokens.encoder(tokens.default_path())
+    found = encoder.encode(pa.array(texts, pa.string()))
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found.counts.tolist() == [len(w) for w in wanted] and found.ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 6)
+    encoder = tokens.BatchEncoder(tokens.default_path())
+    for k in range(8):
+        text = f"the same words w{k} x{k} y{k} z{k} the same"
+        assert encoder.encode(pa.array([text])).ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert "same" in encoder.known and len(encoder.known) <= 12
 
 
 def test_pieces_cover_every_document_once(spark):
     whole = Tokenizer.from_file(tokens.default_path())
-    whole.encode_special_tokens = True
     found = packing.pack(rows(spark, TEXTS), length=64, partitions=3).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in found:

@@ -4,12 +4,11 @@ from tokenizers import Tokenizer
 
 from chapterloom.llm import token_counts, tokens
 
-TEXTS = ["", None, "one line", "a\nb\n\n\nc d e\n", "\n\n", "é𠮷 x\n  y\nz, it's\n" * 50, "x" * 5000 + "\n"]
+TEXTS = ["", None, "one line", "a\nb\n\n\nc d e\n", "\n\n", "é𠮷 x\n  y\nz, it's\n" * 50, "x" * 5000 + "\n", "a<|endoftext|>\nb", "ends <|endoftext|>", " lead", "a \n b", "🙂🙃\n🙂"]
 
 
 def brute(text, starts, rule):
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     offsets = t.encode(text, add_special_tokens=False).offsets
     ends = [*starts[1:], max(len(text), starts[-1])]
     held, crossing = [0] * len(starts), [0] * len(starts)
