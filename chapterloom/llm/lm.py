@@ -196,7 +196,7 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
                 merged[word(raw)] += n
             return pa.RecordBatch.from_arrays([pa.array(list(merged), pa.string()), pa.array(list(merged.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in common.lean(batches):
             for text in batch.column("text").to_pylist():
                 counts.update(text.split())
             if len(counts) > 300_000:
@@ -221,7 +221,7 @@ def numbered(docs: DataFrame, known: dict[str, int]) -> DataFrame:
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbering(known)
-        for batch in batches:
+        for batch in common.lean(batches):
             ids = [number(t).astype("<i2").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -247,7 +247,7 @@ def train(ids: DataFrame, counts: np.ndarray, *, rate: float = 0.1) -> dict[str,
                 network.forward(context[at : at + BATCH], target[at : at + BATCH], learn=rate)
             return len(target)
 
-        for batch in batches:
+        for batch in common.lean(batches):
             for raw in batch.column("ids").to_pylist():
                 open_.append(_ids(raw))
                 held += len(open_[-1])
@@ -281,13 +281,14 @@ def score(docs: DataFrame, **training) -> DataFrame:
     are scored alike. An empty table gives no rows. Figures are rounded to four places, as sums over partitions can
     differ in their last digits.
     """
+    common.text_batches(docs.sparkSession)
     known, counts = vocabulary(docs)
     ids = numbered(docs, known)
     parameters = train(ids, counts, **training)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(parameters)
-        for whole in batches:
+        for whole in common.lean(batches):
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 documents = [_ids(raw) for raw in batch.column("ids").to_pylist()]

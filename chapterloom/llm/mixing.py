@@ -76,20 +76,23 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 20,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, epochs, weight, sample_key, taken.
+    """One row a document: doc_id, source, size, source_size, target, epochs, weight, sample_key, taken, then the columns
+    named in `keep`.
 
     Args:
-        docs: doc_id long, text string, source string; other columns are ignored, whatever their names.
+        docs: doc_id long, text string, source string; other columns are ignored unless named in `keep`, whatever their names.
         weights: of the sources in code-point order, repeating; null is a source of its own, the last.
     A null or blank text has size 0 and takes 0. `taken` counts words with repeats: `epochs` whole copies, one more copy
     for documents before the point at which the target is reached, and the words still missing there from the document
-    at that point. It never exceeds `cap` times the size. Ties in keys (repeated ids) go by size, then by text hash.
+    at that point. It never exceeds `cap` times the size. Ties in keys (repeated ids) go by size, then by text hash, then by what is kept; rows alike in all of that take alike whichever is
+    first. A row without doc_id is drawn like any other. An empty table gives no rows.
     """
     text = common.text_or_empty()
     size = word_count(text)
     light = common.materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), quality(text, size).alias("quality"), F.xxhash64(text).alias("tie"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), quality(text, size).alias("quality"), F.struct(F.xxhash64(text).alias("text"), *keep).alias("tie"))
         .withColumn("sample_key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
         .withColumn("bucket", F.floor(BUCKETS * (1.0 - F.exp(-F.col("sample_key")))).cast("int")),
         "mix-sizes",
@@ -112,14 +115,14 @@ def mix(
     found = light.join(room, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")), "left")
     partial = (F.col("room") > 0) & (F.col("room") < F.col("bucket_size"))
     inside = Window.partitionBy("source", "bucket").orderBy("sample_key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "weight", "sample_key"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "weight", "sample_key", *(F.col(f"tie.{c}").alias(c) for c in keep)]
     whole = found.where(~partial).select(*columns, (F.col("epochs") * F.col("size") + F.when(F.col("room") > 0, F.col("size")).otherwise(0)).alias("taken"))
     cut = (
         found.where(partial)
         .withColumn("before", F.sum("size").over(inside) - F.col("size"))
         .select(*columns, (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("before")))).alias("taken"))
     )
-    return whole.unionByName(cut)
+    return whole.unionByName(cut).select("doc_id", "source", "size", "source_size", "target", "epochs", "weight", "sample_key", "taken", *keep)
 
 
 ORACLE = r"""

@@ -113,6 +113,7 @@ def pack(
     An empty table gives no pieces.
     """
     spark = docs.sparkSession
+    common.text_batches(spark)
     path = tokenizer_path or tokens.default_path()
     parts = partitions or common.shuffle_partitions(spark)
     project = projection()
@@ -123,7 +124,7 @@ def pack(
     )
 
     def sampled(batches):
-        for whole in batches:
+        for whole in common.lean(batches):
             for batch in tokens.slices(whole):
                 coords = coordinates(tokens.encoder(path, special_as_text).encode(batch.column("text"), eos), project)
                 out = [pa.array(coords[:, d]) for d in range(DIMS)] + [batch.column("spread")]
@@ -141,7 +142,7 @@ def pack(
     bounds = keys[(np.arange(1, parts) * len(keys)) // parts] if len(keys) else np.zeros(0, np.int64)
 
     def placed(batches):
-        for whole in batches:
+        for whole in common.lean(batches):
             for batch in tokens.slices(whole):
                 encoded = tokens.encoder(path, special_as_text).encode(batch.column("text"), eos)
                 key = curve_key(coordinates(encoded, project), batch.column("spread").to_numpy(zero_copy_only=False), edges)
@@ -167,7 +168,7 @@ def _pack_stream(batches, length: int, wide: np.dtype) -> Iterator[pa.RecordBatc
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*pieces, strict=True), types, strict=True)], names=names)
 
-    for whole in batches:
+    for whole in common.lean(batches):
         for batch in _slices(whole):
             out = []
             base = batch.column("part")[0].as_py() << 40 if base is None else base

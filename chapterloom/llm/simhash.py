@@ -1,13 +1,18 @@
-"""SimHash near-duplicates: 64-bit fingerprints over word shingles, linked by deletion-variant signatures.
+"""SimHash near-duplicates: fingerprints over word shingles, linked by deletion-variant signatures.
 
-Fingerprints link at up to four differing bits. Cut into three segments, two such fingerprints differ by at most one
-bit in one of them, so they share a one-wildcard variant of that segment: the segment with the differing bit (or any
-bit) left out. All 64 variants of a fingerprint are indexed, equal ones are joined, and the join verifies the distance.
+Each 64-bit word of a fingerprint is cut into three segments. Two fingerprints that differ little differ by at most one
+bit in some segment (with one word, up to five differing bits make that certain), so they share a one-wildcard variant
+of it: the segment with the differing bit, or any bit, left out. Variants are joined by equality, and a joined pair is
+verified by all bits and, if `similarity` is given, by the share of shingles that the texts have in common.
 
-Scale: equal texts collapse to one fingerprint before the join, so copies cost nothing. Dense neighbourhoods (thousands
-of near copies, all within four bits of each other) are first gathered round hubs, at most 64 links a fingerprint; the
-join then emits only links between what is not connected yet, each verified, and at the first variant that the two
-share. So neither copies nor near copies make all pairs, and no link is lost.
+Where variants meet. A wildcard in one half of a segment leaves the other half as it is. So a fingerprint is sent to two
+places for each segment, one for each half that stays, and the variants with their wildcard in the other half are indexed
+and joined there. That moves 6 rows a fingerprint word instead of 64, and finds the same pairs.
+
+Scale. Equal fingerprints (or texts) are one node, so copies cost nothing. A place with more than PLACE nodes is dealt
+into pairs of blocks, each a task's group of its own. Where many nodes share a variant (near copies of one text), they are
+linked to the smallest one first; what is then still in different components is compared in a second search of such
+places, which skips what is connected. So neither copies nor near copies make all pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -17,116 +22,388 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 DISTANCE = 4
-#: (shift, bits) of the three segments.
+#: (shift, bits) of the three segments of a word.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+#: Bits of a segment's lower half.
+LOWER = 10
+#: Nodes of a place that are one group; more are dealt into pairs of blocks.
+PLACE = 20_000
+#: Pairs of nodes with one variant beyond which they are linked by way of the smallest one first.
+DENSE = 2_000
+#: Links of a node to smaller ones that a task gives at first; where it has more, its place counts as dense too.
+THIN = 2
+#: Rows that a task gathers before it joins variants (whole groups), and pairs that it verifies at a time.
+GATHERED, VERIFIED = 60_000, 1 << 18
+#: Rows of a table that may be broadcast: a number or two and a digest each, so about 10 MB.
+BROADCAST_ROWS = 100_000
+
+
+# ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """Bit b is set if it is set in more than half of the XXH64 hashes (seed 42) of the text's word shingles."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of `shingle` words, repeats included; fewer words: of all; none: none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in more than half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long), for every row of docs (doc_id long, text string); null text: empty, 0."""
+def _again(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other 64 bits of the same shingles: the hashes multiplied and mixed anew."""
+    h = hashes * np.uint64((2 * number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def signature(hashes: np.ndarray, words: int) -> tuple[int, ...]:
+    """`words` numbers of 64 bits; the first is the majority of the hashes themselves."""
+    return tuple(majority(hashes if i == 0 else _again(hashes, i)) for i in range(words))
+
+
+def fingerprint(text: str, shingle: int = 4, words: int = 1) -> tuple[int, ...]:
+    """The signature of a text's word shingles."""
+    return signature(shingle_hashes(text, shingle), words)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """kept (doc_id and the columns named in `keep`), class (MD5 of the text), n (different shingles), fp0, fp1, ... for every
+    row of docs (doc_id long, text string); null text: empty."""
+    names = [f"fp{i}" for i in range(words)]
+    common.text_batches(docs.sparkSession)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        for whole in common.lean(batches):
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found, different = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int32)
+                for row, text in enumerate(batch.column("text")):
+                    hashes = shingle_hashes(text.as_py(), shingle)
+                    found[row], different[row] = signature(hashes, words), len(np.unique(hashes))
+                columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(words)]
+                yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("class"), pa.array(different), *columns], names=["kept", "class", "n", *names])
+
+    text = common.text_or_empty()
+    plain = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("kept"), F.md5(text.cast("binary")).alias("class"), text.alias("text"))
+    schema = plain.select("kept", "class").schema.add("n", "integer")
+    for name in names:
+        schema = schema.add(name, "long")
+    return plain.mapInArrow(marked, schema)
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
-    return plain.mapInArrow(marked, "doc_id long, fp long")
 
+# ---------------------------------------------------------------- the variant index
 
-def _mask(shift: int, bits: int) -> int:
-    mask = ((1 << bits) - 1) << shift
-    return mask - (1 << 64) if mask >> 63 else mask
 
+def _halves() -> list[tuple[int, int, int]]:
+    """(shift, bits, shift of the whole) of each half of each segment, lower halves first in a segment."""
+    return [h for shift, bits in SEGMENTS for h in ((shift, LOWER, shift), (shift + LOWER, bits - LOWER, shift))]
 
-def _variants(fp: Column) -> Column:
-    """The 64 one-wildcard variants, each as struct(seg, bit, rest): bit `bit` left out of segment `seg`."""
+
+def _places(words: int) -> Column:
+    """The places of a fingerprint: the number of a half that stays, with its value."""
     out = []
-    for seg, (shift, bits) in enumerate(SEGMENTS):
-        part = fp.bitwiseAND(F.lit(_mask(shift, bits)))
-        for bit in range(shift, shift + bits):
-            out.append(F.struct(F.lit(bit).alias("bit"), part.bitwiseAND(F.lit(~(1 << bit) if bit < 63 else (1 << 63) - 1)).alias("rest")))
+    for w in range(words):
+        for number, (shift, bits, _) in enumerate(_halves()):
+            value = F.shiftrightunsigned(F.col(f"fp{w}"), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+            out.append(F.lit((w * len(_halves()) + number) << 12) + value)
     return F.array(*out)
 
 
-def _first_shared(a: Column, b: Column) -> Column:
-    """The wildcard bit of the first variant that two fingerprints share; null if they share none."""
-    diff = a.bitwiseXOR(b)
-    chosen = F.lit(None).cast("int")
-    for shift, bits in reversed(SEGMENTS):
-        part = F.shiftrightunsigned(diff, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        # With one differing bit the wildcard must be that bit; its number is the count of the bits below it.
-        chosen = F.when(part == 0, F.lit(shift)).when(F.bit_count(part) == 1, F.lit(shift) + F.bit_count(part - F.lit(1))).otherwise(chosen)
-    return chosen
+def _pairs(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions of left range x right range, range by range, about VERIFIED at a time."""
+    rows = np.maximum(1, VERIFIED // np.maximum(right_size, 1))  # of a left range at a time
+    parts = -(-left_size // rows)
+    piece = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    left, whole, right, right_size, rows = (np.repeat(x, parts) for x in (left, left_size, right, right_size, rows))
+    left, left_size = left + piece * rows, np.minimum(rows, whole - piece * rows)
+    held = left_size * right_size
+    at = 0
+    while at < len(held):
+        to = at + max(1, int(np.searchsorted(np.cumsum(held[at:]), VERIFIED, side="right")))
+        sizes = held[at:to]
+        which = np.repeat(np.arange(at, to), sizes)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield left[which] + inside // right_size[which], right[which] + inside % right_size[which]
+        at = to
+
 
+def joined(group: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray, block: np.ndarray, prints: np.ndarray, n: np.ndarray, distance: int, similarity: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, positions, dense places): the verified pairs that share a variant at their places.
+
+    Args:
+        group: number of the group of each row, ascending; block: 0 or 1, of which side of a pair of blocks the row is
+            (2: of a group that is not dealt).
+        prints: rows x words; n: their different shingles. Of a pair the smaller must be `similarity` of the larger or more.
+            Pairs under one root are left out. Unless `all_pairs`, the pairs of nodes that have more than
+            DENSE of them under one variant, or between two, are those of their smallest nodes, and the place is reported.
+    """
+    halves = _halves()
+    number = (place >> 12).astype(np.int64)
+    word, half = number // len(halves), number % len(halves)
+    other = half ^ 1  # the half with the wildcard
+    shift, bits = (np.array([h[i] for h in halves])[other] for i in (0, 1))
+    wild = ((prints[np.arange(len(node)), word] >> shift.astype(np.uint64)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    key = group.astype(np.int64) << 12 | wild
+    _, kin = np.unique(root, return_inverse=True)
+    order = np.lexsort((node, kin, key))
+    key, kin, half, bits = key[order], kin[order], half[order], bits[order]
+    edge = np.concatenate(([True], key[1:] != key[:-1]))
+    head = np.flatnonzero(edge)  # runs: nodes with equal variants whatever the wildcard
+    size = np.diff(np.append(head, len(key)))
+    inner = np.flatnonzero(edge | np.concatenate(([True], kin[1:] != kin[:-1])))  # parts of runs: nodes under one root
+    inner_size = np.diff(np.append(inner, len(key)))
+    run = np.cumsum(edge)[inner] - 1
+    before = inner - head[run]
+    asked: list[tuple[np.ndarray, ...]] = []
+    dense = np.zeros(len(head), bool)
+    # Equal segments: every part of a run with the parts before it; taken at the lower half's place only.
+    lower = half % 2 == 0
+    once = lower[inner] & (before > 0)
+    if not all_pairs:
+        pairs_of = np.bincount(run, weights=inner_size * before, minlength=len(head))
+        dense = (pairs_of > DENSE) & lower[head]
+        rest = once & dense[run]
+        once &= ~dense[run]
+        asked.append((inner[rest], inner_size[rest], head[run[rest]], np.ones(int(rest.sum()), np.int64)))
+    asked.append((inner[once], inner_size[once], head[run[once]], before[once]))
+    # Segments with one differing bit: every part of a run with the run that has that bit set, but for its own root's part.
+    span = len(np.unique(kin))
+    both = key[inner] * span + kin[inner]
+    for b in range(int(bits.max(initial=0))):
+        open_ = np.flatnonzero(((key[inner] >> b) & 1 == 0) & (b < bits[inner]))
+        at = np.searchsorted(key[head], key[inner[open_]] | 1 << b)
+        hit = (at < len(head)) & (key[head[np.minimum(at, len(head) - 1)]] == key[inner[open_]] | 1 << b)
+        mine, at = open_[hit], at[hit]
+        if not len(mine):
+            continue
+        if not all_pairs:
+            thick = size[run[mine]] * size[at] > DENSE
+            dense[run[mine[thick]]] = True
+            asked.append((inner[mine[thick]], np.ones(int(thick.sum()), np.int64), head[at[thick]], np.ones(int(thick.sum()), np.int64)))
+            mine, at = mine[~thick], at[~thick]
+        same = key[head[at]] * span + kin[inner[mine]]
+        low = np.searchsorted(both, same)
+        found = (low < len(both)) & (both[np.minimum(low, len(both) - 1)] == same)
+        stop = np.where(found, inner[np.minimum(low, len(inner) - 1)], head[at] + size[at])
+        go = np.where(found, stop + inner_size[np.minimum(low, len(inner) - 1)], stop)
+        asked.append((inner[mine], inner_size[mine], head[at], stop - head[at]))
+        asked.append((inner[mine], inner_size[mine], go, head[at] + size[at] - go))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for ranges in asked:
+        for a, b in _pairs(*ranges):
+            a, b = order[a], order[b]
+            far = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int32)
+            good = (far <= distance) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (root[a] != root[b]) & ((block[a] != block[b]) | (block[a] == 2))
+            left.append(a[good])
+            right.append(b[good])
+    return np.concatenate(left), np.concatenate(right), np.unique(place[order[head[dense]]])
 
-def hubs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: verified links of fingerprints to the smallest one that shares a variant with them: at most 64 each."""
-    same = Window.partitionBy("bit", "rest")
-    keyed = distinct.select("fp", F.inline(_variants(F.col("fp")))).withColumn("hub", F.min("fp").over(same))
-    return keyed.where((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
+def thinned(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs stay, places of those that do not): of a node's different links to smaller ones THIN stay, the smallest."""
+    order = np.lexsort((low, high))
+    l, h = low[order], high[order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    step = new | np.concatenate(([True], l[1:] != l[:-1])) if len(h) else new
+    different = np.cumsum(step)
+    rank = different - np.maximum.accumulate(np.where(new, different, 0)) if len(h) else different
+    stay = np.zeros(len(h), bool)
+    stay[order] = rank < THIN
+    return stay, np.unique(place[~stay])
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: for every pair of fingerprints at most `distance` bits apart whose `root` differs, their roots.
 
-    The equality join on variants verifies the distance and keeps a pair at its first shared variant only, so its
-    output holds each link once.
+def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0.0, places: DataFrame | None = None, all_pairs: bool = False) -> DataFrame:
+    """a, b, at: pairs of nodes under different roots that share a variant and differ by at most `distance` bits, each
+    once or more; and, with null a and b, the places at which dense nodes were linked by way of the smallest.
+
+    Args:
+        nodes: node long, root long, n int, fp0 long, ...; one row a node.
+        places: if given, only these (at int) are searched.
+        all_pairs: whether dense nodes are compared in pairs too.
     """
-    keyed = distinct.select("fp", "root", F.inline(_variants(F.col("fp"))))
-    far = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
-    match = (F.col("l.bit") == F.col("r.bit")) & (F.col("l.rest") == F.col("r.rest")) & (F.col("l.fp") < F.col("r.fp")) & (F.col("l.root") != F.col("r.root"))
-    first = F.col("l.bit") == _first_shared(F.col("l.fp"), F.col("r.fp"))
-    return keyed.alias("l").join(keyed.alias("r"), match & (far <= distance) & first).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
+    spark = nodes.sparkSession
+    prints = [f"fp{i}" for i in range(words)]
+    dealt = nodes.select("node", "root", "n", *prints, F.explode(_places(words)).alias("place"))
+    if places is not None:
+        side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        dealt = dealt.join(side, F.col("place") == F.col("at"), "left_semi")
+    hot = dealt.groupBy(F.col("place").alias("h_place")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PLACE)
+    hot = common.materialise(hot.select("h_place", F.ceil(F.col("n") / PLACE).cast("int").alias("blocks")), "simhash-hot")
+    n_hot = hot.count()
+    if n_hot:
+        side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = dealt.join(side, F.col("place") == F.col("h_place"), "left").withColumn("own", own)
+        dealt = dealt.withColumn("x", F.explode(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+        dealt = dealt.withColumns({"i": F.coalesce(F.least("own", "x"), F.lit(0)), "j": F.coalesce(F.greatest("own", "x"), F.lit(0))})
+        dealt = dealt.withColumn("block", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")).cast("int"))
+    else:
+        dealt = dealt.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(2)})
+    columns = ["place", "i", "j", "block", "node", "root", "n", *prints]
+    dealt = dealt.select(*columns).repartition(common.shuffle_partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def given(rows: list[np.ndarray]) -> pa.RecordBatch:
+            place, i, j, block, node, root, n, *fps = rows
+            new = (place[1:] != place[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            group = np.concatenate(([0], np.cumsum(new)))
+            a, b, at = joined(group, place, node, root, block, np.stack(fps, axis=1).view(np.uint64), n, distance, similarity, all_pairs)
+            low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            if not all_pairs:
+                stay, more = thinned(low, high, place[a])
+                low, high, at = low[stay], high[stay], np.union1d(at, more)
+            a, b = np.unique(np.stack((low, high)), axis=1)
+            none = np.zeros(len(at), np.int64)
+            mask = np.arange(len(a) + len(at)) >= len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, none)), mask=mask), pa.array(np.concatenate((b, none)), mask=mask), pa.array(np.concatenate((np.zeros(len(a), np.int32), at.astype(np.int32))), mask=~mask)], names=["a", "b", "at"])
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            if sum(len(x[0]) for x in held) < GATHERED:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield given([c[:cut] for c in rows])
+            held = [[c[cut:] for c in rows]]
+        if held and sum(len(x[0]) for x in held):
+            yield given([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return dealt.mapInArrow(found, "a long, b long, at int")
+
+
+# ---------------------------------------------------------------- verification by shingles
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """node, held: the different shingle hashes of the text of each of `classes` (node, class)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in common.lean(batches):
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                held = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column("text")]
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], names=["node", "held"])
+
+    text = common.text_or_empty()
+    texts = docs.select(F.md5(text.cast("binary")).alias("t_class"), text.alias("text"))
+    side = F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes
+    wanted = texts.join(side, F.col("t_class") == F.col("class")).groupBy("node").agg(F.first("text").alias("text"))
+    return wanted.mapInArrow(cut, "node long, held array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("x")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    x, y = F.size("x"), F.size("y")
+    alike = F.size(F.array_intersect("x", "y")) * (1 + similarity) >= similarity * (x + y) - 1e-9
+    return both.where((F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & alike).select("a", "b")
+
+
+# ---------------------------------------------------------------- the operator
+
+
+class _Links:
+    """Finds and verifies links. Shingle sets are made once for a node; `tables` are what can go when all links are known."""
+
+    def __init__(self, docs: DataFrame, shingle: int, words: int, distance: int, similarity: float | None):
+        self.docs, self.shingle, self.words, self.distance, self.similarity = docs, shingle, words, distance, similarity
+        self.sets: DataFrame | None = None
+        self.tables: list[DataFrame] = []
+
+    def written(self, rows: DataFrame, name: str) -> DataFrame:
+        self.tables.append(common.materialise(rows, name))
+        return self.tables[-1]
+
+    def among(self, nodes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+        """(a, b: links; at: dense places) of nodes with roots."""
+        found = self.written(search(nodes, words=self.words, distance=self.distance, similarity=self.similarity or 0.0, **how), "simhash-pairs")
+        pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
+        dense = found.where(F.col("at").isNotNull()).select("at").distinct()
+        if self.similarity is None:
+            return pairs, dense
+        pairs = self.written(pairs, "simhash-candidates")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        wanted = nodes.join(ends, F.col("node") == F.col("e"), "left_semi").select("node", "class")
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = self.written(wanted, "simhash-ends")
+        if not wanted.isEmpty():
+            more = self.written(shingle_sets(self.docs, wanted, self.shingle), "simhash-shingles")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return pairs, dense  # no candidates
+        return self.written(_similar(pairs, self.sets, self.similarity), "simhash-verified"), dense
 
 
-def _rooted(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """`classes` with `root` replaced by the component that it is in, if it is in one."""
-    found = classes.join(groups, F.col("root") == F.col("node"), "left")
-    return found.select("fp", "least", F.coalesce("component", "root").alias("root"))
+def _linked(nodes: DataFrame, links: _Links) -> DataFrame:
+    """node, component: the components of the nodes that have a link."""
+    first, dense = links.among(nodes.withColumn("root", F.col("node")))
+    if dense.isEmpty():
+        return components(first)
+    groups = links.written(components(first), "simhash-groups")
+    of = groups.select(F.col("node").alias("g_node"), "component")
+    rooted = nodes.join(of, F.col("node") == F.col("g_node"), "left").withColumn("root", F.coalesce("component", "node"))
+    more, _ = links.among(links.written(rooted.drop("g_node", "component"), "simhash-rooted"), places=dense, all_pairs=True)
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
-    """One row a document: doc_id, fp (long), component_id: the smallest doc_id reachable over links, itself included.
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, distance: int = DISTANCE, similarity: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, class (MD5 of its text), fp (its first 64 bits, long), component_id: the smallest doc_id
+    reachable over links, itself included, component: a number of the group, which names one without ids too, and the columns
+    named in `keep`.
 
     Args:
-        docs: doc_id long, text string; other columns are ignored, whatever their names.
-        distance: differing bits of linked fingerprints, at most 4: what three one-wildcard segments find for certain.
-    A null text counts as empty. Texts without words have fingerprint zero and link like any other. Repeated rows stay
-    rows of their own in one component. A null doc_id takes part, and names a component only where there is no other.
-    An empty table gives no rows.
+        docs: doc_id long, text string; other columns are ignored unless named in `keep`, whatever their names.
+        words: 64-bit words of a fingerprint.
+        distance: differing bits of linked fingerprints. Up to 5 with one word all links are found; beyond that, or with more
+            words, those that share a one-wildcard variant, so a link is found the likelier the more words there are.
+        similarity: if given, texts are linked only if this share of their different shingles (of both) is common to them.
+    A null text counts as empty. Texts without words have fingerprint zero and link like any other; with `similarity` they
+    link with each other. Repeated rows stay rows of their own in one component. A null doc_id takes part, and names a
+    component only where there is no other. An empty table gives no rows.
     """
-    if distance > DISTANCE:
-        raise ValueError("three segments with one wildcard find up to four differing bits")
-    marked = common.materialise(fingerprints(docs, shingle), "simhash")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("root", F.col("fp"))
-    classes = common.materialise(classes, "simhash-classes")
-    gathered = common.materialise(_rooted(classes, components(hubs(classes, distance))), "simhash-gathered")
-    rooted = _rooted(gathered, components(links(gathered, distance)))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = rooted.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    if words == 1 and distance > 5 and similarity is None:
+        raise ValueError("three segments with one wildcard find up to five differing bits")
+    marked = common.materialise(fingerprints(docs, shingle, words, keep), "simhash")
+    by = ["fp0"] if similarity is None and words == 1 else ["class"]
+    prints = [F.first(c).alias(c) for c in ("n", *(f"fp{i}" for i in range(words))) if c not in by]
+    classes = marked.groupBy(*by).agg(F.min("kept.doc_id").alias("least"), *prints)
+    node = F.col("fp0") if by == ["fp0"] else F.monotonically_increasing_id()
+    nodes = common.materialise(classes.withColumn("node", node), "simhash-nodes")
+    links = _Links(docs, shingle, words, distance, similarity)
+    linked = common.materialise(_linked(nodes, links), "simhash-components")
+    for written in links.tables:
+        common.forget(written)
+    named = nodes.join(linked.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("component", F.coalesce("component", "node"))
+    of_group = named.where(F.col("l_node").isNotNull()).groupBy(F.col("component").alias("c")).agg(F.min("least").alias("group_least"))
+    named = named.join(of_group, F.col("component") == F.col("c"), "left").withColumn("component_id", F.when(F.col("l_node").isNotNull(), F.col("group_least")).otherwise(F.col("least")))
+    named = named.select(F.col(by[0]).alias("n_class"), "component", "component_id")
+    return marked.join(named, F.col(by[0]) == F.col("n_class")).select("kept.doc_id", "class", F.col("fp0").alias("fp"), "component_id", "component", *(f"kept.{c}" for c in keep))

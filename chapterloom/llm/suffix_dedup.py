@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
             columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), np.array(nulls, np.uint8).tobytes(), sizes.tobytes(), blob))]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "nulls", "sizes", "blob"])
 
-        for batch in batches:
+        for batch in common.lean(batches):
             for i, none, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "no_id", "text")), strict=True):
                 ids.append(i)
                 nulls.append(none)
@@ -427,7 +427,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
         return Chunk(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "blob", "copies")))
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.lean(batches):
             for i in range(batch.num_rows):
                 chunk = Chunk(*(batch.column(c)[i].as_py() for c in ("ids", "sizes", "blob")))
                 digests = [xxhash.xxh3_128_digest(data.tobytes()) for _, data in chunk]
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
     chunks = whole.join(common.materialise(copies, "repeats-copies"), F.col("chunk") == F.col("c_chunk"), "left").drop("c_chunk")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.lean(batches):
             for i in range(batch.num_rows):
                 number, _, hashes = opened(batch, i).anchored(length, gram)
                 # Once a document, and twice a chunk at most: a hash that occurs twice then occurs in two documents.
@@ -454,7 +454,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per chunk, its hashes in this shard that occur in two documents or more."""
         chunk_of, shard_of, sets = [], [], []
-        for batch in batches:
+        for batch in common.lean(batches):
             chunk_of += batch.column("chunk").to_pylist()
             shard_of += batch.column("shard").to_pylist()
             sets += [_unpacked(x) for x in batch.column("hashes").to_pylist()]
@@ -486,7 +486,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in common.lean(batches):
             for i in range(batch.num_rows):
                 chunk, number, position, hashes = chosen(batch, i)
                 for s, at in _by_shard(_shard(hashes, shards), shards):
@@ -496,7 +496,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, chunk_of, shard_of, parts = zstandard.ZstdDecompressor(), [], [], []
-        for batch in batches:
+        for batch in common.lean(batches):
             chunk_of += batch.column("chunk").to_pylist()
             shard_of += batch.column("shard").to_pylist()
             parts += [np.frombuffer(open_.decompress(x), _records(gram + 2 * side)) for x in batch.column("records").to_pylist()]
@@ -515,7 +515,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.lean(batches):
             for i in range(batch.num_rows):
                 judged_ = batch.column("judged")[i].as_py() or []
                 if judged_:

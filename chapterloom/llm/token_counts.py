@@ -95,6 +95,7 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str | None = None, special_
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    common.text_batches(docs.sparkSession)
     path = tokenizer_path or tokens.default_path()
     bounds = F.col(sections).cast("array<long>") if sections else F.lit(None).cast("array<long>")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"), bounds.alias("bounds"))
@@ -102,7 +103,7 @@ def count_tokens(docs: DataFrame, *, tokenizer_path: str | None = None, special_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path, special_as_text)
-        for whole in batches:
+        for whole in common.lean(batches):
             for batch in tokens.slices(whole):
                 texts = batch.column("text")
                 encoded = encoder.encode(texts)

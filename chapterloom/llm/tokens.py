@@ -17,17 +17,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Words in a Python worker's memory; beyond it those seldom met are let go. This is a bound on memory only: results do
 #: not depend on it.
 CACHE_WORDS = 500_000
 #: Bytes of text and number of texts that are encoded at a time.
-SLICE_BYTES, SLICE_TEXTS = 6 << 20, 2048
+SLICE_BYTES, SLICE_TEXTS = 3 << 20, 2048
 #: New words that the library gets in one text.
 TOGETHER = 100
 WHOLE, NEW = -1, -2
 
-_ENCODERS: dict[tuple[str, bool], "BatchEncoder"] = {}
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -199,7 +199,4 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> list[pa.RecordBatch]:
 
 def encoder(path: str, special_as_text: bool = False) -> BatchEncoder:
     """The process's encoder for `path`; Python workers are reused, so its memory serves many tasks."""
-    key = (path, special_as_text)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = BatchEncoder(path, special_as_text)
-    return _ENCODERS[key]
+    return common.held(("encoder", path, special_as_text), lambda: BatchEncoder(path, special_as_text))

@@ -61,7 +61,7 @@ FIRST = "$@!|+€£"
 ODD = re.compile(r"[^" + LETTERS + r"]|(.)\1\1")
 #: Words whose weights (features, in training) a worker remembers, and counts that it holds before it gives them on: bounds
 #: on memory only, results do not depend on them.
-CACHE_WORDS, CACHE_FEATURES, HELD_COUNTS = 300_000, 40_000, 150_000
+CACHE_WORDS, CACHE_FEATURES, HELD_COUNTS = 200_000, 40_000, 100_000
 
 
 # ---------------------------------------------------------------- character model
@@ -82,7 +82,7 @@ def bigram_counts(docs: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
+        for batch in common.lean(batches):
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column("text").slice(at, 256).to_pylist()
                 points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
@@ -256,10 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, memo, counts = Decoder(model), {}, {}
-        for batch in batches:
-            for fold, label, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "label", "text")), strict=True):
+        for batch in common.lean(batches):
+            for fold, label, text in zip(batch.column("fold").to_pylist(), batch.column("label").to_pylist(), batch.column("text"), strict=True):
                 found = set()
-                words = text.split()
+                words = text.as_py().split()
                 for raw in {*words, *spaced_words(words)}:
                     if raw not in memo:
                         if len(memo) > CACHE_FEATURES:
@@ -300,9 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(model, x) for x in halves]
-        for batch in batches:
-            folds, texts = batch.column("fold").to_pylist(), batch.column("text").to_pylist()
-            got = [scorers[k].document(t) for k, t in zip(folds, texts, strict=True)]
+        for batch in common.lean(batches):
+            got = [scorers[k].document(t.as_py()) for k, t in zip(batch.column("fold").to_pylist(), batch.column("text"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array([g[i] for g in got], pa.float64()) for i in range(4))], names=["label", "words", "hits", "total", "most"])
 
     seen = training.mapInArrow(measured, "label int, words double, hits double, total double, most double").toPandas()
@@ -320,9 +319,6 @@ def _counts(counts: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["fold", "feature", "clean", "toxic"])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, keep: tuple[str, ...] = (), **fitting) -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1), predicted (1 from `threshold`), hits, then the columns named in `keep`.
 
@@ -332,17 +328,15 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, keep: t
     A null text counts as empty and gets the score of a document without hits. Repeated rows are scored alike. Without
     usable labels every score is the same, 0.25. An empty table gives no rows.
     """
+    common.text_batches(docs.sparkSession)
     model, lexicon, fitted = fit(docs, labels, **fitting)
     mark = zlib.crc32(repr((sorted(lexicon.items()), fitted.tolist())).encode())
     plain = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *keep).alias("kept"), common.text_or_empty().alias("scored_text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(model, lexicon)
-        scorer = _SCORERS[mark]
-        for batch in batches:
-            got = np.array([scorer.document(t) for t in batch.column("scored_text").to_pylist()], float).reshape(-1, 4)
+        scorer = common.held(("scorer", mark), lambda: Scorer(model, lexicon))
+        for batch in common.lean(batches):
+            got = np.array([scorer.document(t.as_py()) for t in batch.column("scored_text")], float).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(design(*got.T) @ fitted, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(p), pa.array(got[:, 1].astype(np.int64))], names=["kept", "score", "hits"])
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from chapterloom.llm import common, mixing, simhash
+from chapterloom.llm import common, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,24 +50,131 @@ def test_toxic_documents_go_and_clean_ones_stay(corpus):
         assert (r.doc_id in left) == (not bad)
 
 
-def test_one_document_of_each_group_stays(corpus):
-    _, stages = corpus
-    before, after = stages["toxicity"], {r.doc_id for r in stages["near-duplicates"]}
-    prints = {r.doc_id: simhash.fingerprint(r.text or "") for r in before}
-    root = {i: i for i in prints}
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def similar(a, b):
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
+def near_groups(texts):
+    """The smallest number of each text's component over Jaccard similarities of 0.8 or more."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(prints)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                x, y = find(a), find(b)
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if similar(a, sets[j]) >= 0.8:
+                x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    assert after == {i for i in ids if find(i) == i}
+    return [find(i) for i in range(len(texts))]
+
+
+def test_one_document_of_each_group_stays(corpus):
+    _, stages = corpus
+    before = sorted(stages["toxicity"], key=lambda r: r.doc_id)
+    root = near_groups([r.text for r in before])
+    assert {r.doc_id for r in stages["near-duplicates"]} == {r.doc_id for i, r in enumerate(before) if root[i] == i}
+
+
+ODD = SCHEMA + ", size int, taken string, epochs int, part int, whole string, row_key string, class int, component string, kept int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Rows with repeated and null ids, repeated rows, null columns, and columns that stages use for themselves."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = some(60)
+    near = base.replace(base.split()[30], "other", 1)
+    rows = [(1, base, "s0"), (2, near, "s1"), (3, base, "s0"), (3, some(40), "s1"), (3, some(50), "s1"), (4, some(30), None), (4, some(30), None)]
+    rows += [(None, some(25), "s0"), (None, some(25), "s0"), (None, base, "s0"), (5, None, "s1"), (6, "", "s1"), (7, " \t", "s2"), (8, "one two", "s2")]
+    rows += [(9, "one  two", "s2"), (10, some(3000), "s0"), (1, base, "s0"), (1, base, "s0"), (11, some(30), "s9"), (11, some(30), "s9")]
+    rows = [(i, t, None, s, None if t is None else len(t), 7, "x", 7, 7, "x", "x", 7, "x", 7) for i, t, s in rows]
+    path = f"file://{tmp_path_factory.mktemp('odd')}/odd.parquet"
+    spark.createDataFrame(rows, ODD).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_near_duplicates_go_by_row(spark, odd):
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()]
+    rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    root = near_groups([t for _, t in rows])
+    assert len(left) == len(set(root))
+    by_group = {}
+    for n, row in enumerate(rows):
+        by_group.setdefault(root[n], []).append(row)
+    for group in by_group.values():
+        kept = [row for row in group if row in left]
+        assert kept and kept[0][0] == group[0][0]
+    assert {t for i, t in left if i == 3} == {t for i, t in rows if i == 3 and t != next(t for i, t in rows if i == 1)}
+
+
+def test_mix_goes_by_row(spark, odd):
+    mixed = corpus_pipeline.mix_sources(spark, odd, "")
+    assert mixed.columns == list(corpus_pipeline.COLUMNS)
+    rows, out = odd.collect(), mixed.collect()
+    size = lambda t: len((t or "").split())
+    have, words = Counter(), Counter()
+    for r in rows:
+        have[r.source] += size(r.text)
+    for r in out:
+        words[r.source] += size(r.text)
+    order = sorted(have, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, target = 1.5 * sum(have.values()), {}
+    open_ = dict(weight)
+    while True:  # fill by weight, close what is full
+        level = left / sum(open_.values()) if open_ else 0
+        full = [s for s in open_ if level * open_[s] >= 2 * have[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2 * have[s]
+            left -= target[s]
+            del open_[s]
+    target |= {s: level * w for s, w in open_.items()}
+    for s in have:
+        assert abs(words[s] - target[s]) <= 1
+    # Each row is taken at most twice, whole or from its start.
+    given, taken = Counter((r.doc_id, r.text, r.source) for r in rows), Counter()
+    for r in out:
+        fits = [k for k in given if k[0] == r.doc_id and k[2] == r.source and (k[1] or "").startswith(r.text or "") and (r.text is None) == (k[1] is None)]
+        assert fits
+        taken[next((k for k in fits if k[1] == r.text), fits[0])] += size(r.text)
+    for k, n in taken.items():
+        assert n <= 2 * given[k] * size(k[1])
+
+
+def test_stages_keep_rows(spark, odd):
+    count = lambda rows: Counter((r.doc_id, r.text) for r in rows)
+    clean = corpus_pipeline.remove_personal_data(spark, odd, "")
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and count(clean.collect()) == count(odd.collect())
+    packed = Counter(p.doc_id for p in corpus_pipeline.pack_sequences(spark, odd, "").where("start = 0").collect())
+    assert packed == Counter(r.doc_id for r in odd.collect())
+
+
+def test_toxic_rows_go_by_text(spark, odd, tmp_path):
+    labels = [(i, 1, int(i % 2)) for i in range(12)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    left = corpus_pipeline.reject_toxic(spark, odd, f"file://{tmp_path}")
+    assert left.columns == list(corpus_pipeline.COLUMNS)
+    gone = Counter((r.doc_id, r.text) for r in odd.collect()) - Counter((r.doc_id, r.text) for r in left.collect())
+    assert not {t for _, t in gone} & {r.text for r in left.collect()}
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_no_rows(spark, odd, stage, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert stage(spark, odd.limit(0), f"file://{tmp_path}").count() == 0
 
 
 def test_personal_data_is_replaced(corpus):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,7 +43,7 @@ def groups(nodes, near):
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abAÉ .\t\n\x1c\x85 ", max_size=60))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) == plain(text)
+    assert simhash.fingerprint(text) == (plain(text),)
 
 
 def test_groups_equal_brute_force(spark):
@@ -68,22 +69,84 @@ def test_groups_equal_brute_force(spark):
     assert [r.component_id for r in found if r.doc_id is None] == [expected[5003]]
 
 
-def test_dense_and_border_links(spark):
-    """Fingerprints round one centre, at every distance, with differences at the ends of segments."""
+def around(rng, base, bits, counts):
+    """Fingerprints round one centre, at every distance, with differences at the ends of segments and halves."""
+    return {base ^ sum(1 << b for b in rng.sample(bits, k)) for k in counts for _ in range(60)}
+
+
+def linked(spark, prints, distance=4):
+    signed = sorted(int(np.uint64(p).astype(np.int64)) for p in prints)
+    nodes = spark.createDataFrame([(p, 1, p) for p in signed], "node long, n int, fp0 long")
+    found = {r.node: r.component for r in simhash._linked(nodes, simhash._Links(None, 4, 1, distance, None)).collect()}
+    wanted = groups(signed, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= distance)
+    assert {n: found.get(n, n) for n in signed} == wanted
+    return nodes
+
+
+@pytest.mark.parametrize("place,dense,thin", [(20_000, 2_000, 2), (20_000, 3, 100), (17, 2_000, 100), (9, 3, 1)])
+def test_dense_and_border_links(spark, monkeypatch, place, dense, thin):
+    """Also with places dealt into blocks, and with dense nodes linked in two steps."""
+    monkeypatch.setattr(simhash, "PLACE", place)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "THIN", thin)
     rng = random.Random(5)
     base = rng.getrandbits(64)
-    prints = {base}
-    for k in (1, 2, 3, 4, 5, 6, 7, 8):
-        for _ in range(40):
-            bits = rng.sample([0, 20, 21, 41, 42, 62, 63, 5, 25, 50, 51, 52], k)
-            prints.add(base ^ sum(1 << b for b in bits))
-    prints |= {rng.getrandbits(64) for _ in range(50)}
-    signed = sorted(int(np.uint64(p).astype(np.int64)) for p in prints)
-    frame = spark.createDataFrame([(p, p, p) for p in signed], "fp long, least long, root long")
-    found = {tuple(sorted((r.a, r.b))) for r in simhash.links(frame).collect()}
-    assert found == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    for r in simhash.hubs(frame).collect():
-        assert tuple(sorted((r.a, r.b))) in found
+    ends = [0, 9, 10, 20, 21, 30, 31, 41, 42, 51, 52, 62, 63, 5, 25]
+    prints = {base} | around(rng, base, ends, (1, 2, 3, 4, 5, 6, 7, 8)) | {rng.getrandbits(64) for _ in range(50)}
+    prints |= around(rng, rng.getrandbits(64), list(range(64)), (1, 3, 5))
+    nodes = linked(spark, prints)
+    if (place, dense, thin) == (20_000, 2_000, 2):
+        signed = sorted(r.node for r in nodes.collect())
+        found = simhash.search(nodes.withColumn("root", nodes.node), words=1, distance=4, all_pairs=True)
+        found = {tuple(sorted((r.a, r.b))) for r in found.collect() if r.a is not None}
+        assert found == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+
+
+def test_many_pairs_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFIED", 10)
+    monkeypatch.setattr(simhash, "GATHERED", 100)
+    rng = random.Random(6)
+    linked(spark, around(rng, 77, list(range(12)), (1, 2, 3)))
+
+
+def jaccard(a, b, k=5):
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_texts(spark):
+    """Links by shared shingles: never below the threshold, and at least nine of ten above it."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(120):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 80, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([1, 1, 2, len(copy) // 60])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["", None, " ", "one two", "One  two", "one two three"]
+    nodes = sorted({t or "" for t in texts})
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=5, distance=60, similarity=0.8).collect()
+    assert len(found) == len(rows)
+    near = {(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if jaccard(a, b) >= 0.8}
+    wanted = groups(nodes, lambda a, b: (a, b) in near)
+    component = {r.doc_id: r.component_id for r in found}
+    of = {t or "": component[i] for i, t in rows}
+    assert all(component[i] == of[t or ""] for i, t in rows)
+    for a in nodes:
+        for b in nodes:
+            if of[a] == of[b]:
+                assert wanted[a] == wanted[b]
+    assert sum(of[a] == of[b] for a, b in near) >= 0.9 * len(near) > 50
+    assert of["one two"] == of["One  two"] != of["one two three"] and of[""] == of[" "]
 
 
 def test_empty_table(spark):
