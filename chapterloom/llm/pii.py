@@ -35,6 +35,8 @@ WORD = r"\p{L}+"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
 #: Terms up to this many are sent to all executors as a join side; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
+#: The same for keys of texts, eight bytes each.
+BROADCAST_KEYS = 500_000
 REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
@@ -100,32 +102,47 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
+def _values(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+
+
 def disclosing_terms(hits: DataFrame, texts: DataFrame, *, share: float, support: int) -> DataFrame:
-    """value, term, disclosure: terms whose share of the value's information is `share` or more.
+    """value, text_key, term, disclosure, loose: terms whose share of the value's information is `share` or more. The values
+    that only one text has are all told alike by its terms, so they are one row, with null value and that text's key.
+    loose: whether documents without any value hold the term too.
 
     hits: text_key, text, spans of documents with values; texts: the text of every document, each row one document.
     """
-    spark = hits.sparkSession
-    values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     by_text = hits.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans"))
-    by_text = by_text.select("copies", values.alias("values"), _terms(F.col("text")).alias("terms"))
+    by_text = common.materialise(by_text.select("text_key", "copies", _values(F.col("spans")).alias("values"), _terms(F.col("text")).alias("terms")), "pii-texts")
+    total = float(max(1, texts.count()))
     worth = by_text.select("copies", F.explode("values").alias("value")).groupBy("value").agg(F.sum("copies").alias("n_value"), F.count(F.lit(1)).alias("texts"))
-    # A value in fewer texts than `support` has no term with that support: it is left out before terms are paired.
-    worth = common.materialise(worth.where(F.col("texts") >= support), "pii-values")
-    pairs = by_text.select("copies", F.explode("values").alias("value"), "terms").join(worth.select("value", "n_value"), "value")
+    shared = common.materialise(worth.where(F.col("texts") >= max(2, support)).select(F.col("value").alias("s_value"), "n_value"), "pii-values")
+    # How many documents with values hold a term: as many as hold it at all, or fewer.
+    own = by_text.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_own"))
+    own = common.materialise(own, "pii-own")
+    # Values of several texts: their texts' terms are counted with them.
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_TERMS else shared
+    pairs = by_text.select("copies", "terms", F.explode("values").alias("value")).join(side, F.col("value") == F.col("s_value"))
     together = pairs.select("value", "n_value", "copies", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"), F.max("n_value").alias("n_value"))
-    together = common.materialise(together.where(F.col("texts") >= support), "pii-pairs")
-    asked = common.materialise(together.select("term").distinct(), "pii-terms")
-    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = lambda terms: terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # A large side is joined to counts that have been summed map-side, so that no row a document and term is shuffled.
-    counted = counts(every.join(F.broadcast(asked), "term")) if asked.count() <= BROADCAST_TERMS else counts(every).join(asked, "term")
-    total = float(max(1, texts.count()))
+    together = together.where(F.col("texts") >= support).select("value", F.lit(None).cast("long").alias("text_key"), "term", "n_both", "n_value")
+    if support <= 1:
+        # Values of one text (all its copies): every term of the text occurs with them as often as they occur.
+        alone = by_text.select("text_key", "copies", F.explode("values").alias("value")).join(worth.where("texts = 1").select(F.col("value").alias("a_value")), F.col("value") == F.col("a_value"))
+        alone = alone.select("text_key").distinct().join(by_text, "text_key")
+        alone = alone.select(F.lit(None).cast("long").alias("value"), "text_key", F.explode("terms").alias("term"), F.col("copies").alias("n_both"), F.col("copies").alias("n_value"))
+        together = together.unionByName(alone)
     information = F.log(F.lit(total) / F.col("n_value"))
-    pmi = F.log(F.col("n_both") * F.lit(total) / (F.col("n_value") * F.col("n_term")))
     # A value in every document carries no information, so nothing discloses it.
-    told = together.join(counted, "term").withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(0.0))
-    return told.where(F.col("disclosure") >= share).select("value", "term", "disclosure")
+    told = lambda n_term: F.when(information > 0, F.log(F.col("n_both") * F.lit(total) / (F.col("n_value") * n_term)) / information).otherwise(0.0)
+    # A term that documents with values alone hold too often can be left out before it is counted in all texts.
+    together = common.materialise(together.join(own, "term").where(told(F.col("n_own")) >= share), "pii-pairs")
+    asked = common.materialise(together.select(F.col("term").alias("a_term")).distinct(), "pii-terms")
+    # Summed map-side, so that no row a document and term is shuffled.
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = every.join(asked, F.col("term") == F.col("a_term")).drop("a_term")
+    found = together.join(counted, "term").withColumn("disclosure", told(F.col("n_term")))
+    return found.where(F.col("disclosure") >= share).select("value", "text_key", "term", "disclosure", (F.col("n_term") > F.col("n_own")).alias("loose"))
 
 
 def _term_spans(text: Column, told: Column, base: Column) -> Column:
@@ -138,15 +155,24 @@ def _term_spans(text: Column, told: Column, base: Column) -> Column:
 def _disclosed(hits: DataFrame, texts: DataFrame, share: float, support: int, everywhere: bool) -> DataFrame:
     """t_key, told: for texts with disclosing terms, the map of terms to mark in them."""
     told = common.materialise(disclosing_terms(hits, texts, share=share, support=support), "pii-told").withColumnRenamed("value", "t_value")
+    held = hits.groupBy("text_key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     if everywhere:
-        worst = common.materialise(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-worst")
-        side = F.broadcast(worst) if worst.count() <= BROADCAST_TERMS else worst
-        held = texts.select(F.xxhash64("text").alias("text_key"), F.explode(_terms(F.col("text"))).alias("term"))
-        marks = held.join(side, "term").groupBy("text_key", "term").agg(F.first("disclosure").alias("disclosure"))
+        worst = common.materialise(told.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max("loose").alias("loose")), "pii-worst")
+        marks = held.select("text_key", F.explode(_terms(F.col("text"))).alias("term")).join(worst.drop("loose"), "term")
+        # Only terms that texts without values hold too are looked for in those.
+        loose = worst.where("loose").select("term", "disclosure")
+        n_loose = loose.count()
+        if n_loose:
+            side = F.broadcast(loose) if n_loose <= BROADCAST_TERMS else loose
+            others = texts.select(F.xxhash64("text").alias("text_key"), F.explode(_terms(F.col("text"))).alias("term")).join(side, "term")
+            marks = marks.unionByName(others)
+        marks = marks.groupBy("text_key", "term").agg(F.first("disclosure").alias("disclosure"))
     else:
-        values = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-        owned = hits.select("text_key", F.explode(values).alias("value")).distinct()
-        marks = owned.join(told, F.col("value") == F.col("t_value")).groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
+        owned = held.select("text_key", F.explode(_values(F.col("spans"))).alias("value"))
+        shared = told.where(F.col("t_value").isNotNull()).select("t_value", "term", "disclosure")
+        marks = owned.join(shared, F.col("value") == F.col("t_value")).select("text_key", "term", "disclosure")
+        marks = marks.unionByName(told.where(F.col("t_value").isNull()).select("text_key", "term", "disclosure"))
+        marks = marks.groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
     return marks.groupBy(F.col("text_key").alias("t_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
 
 
@@ -171,7 +197,8 @@ def find(docs: DataFrame, *, share: float = 0.95, support: int = 3, everywhere:
     if everywhere:
         told = common.materialise(told, "pii-marks")
         # Texts without values that hold a term: few, so they are fetched once it is known which.
-        others = told.select("t_key").join(hits.select("text_key"), F.col("t_key") == F.col("text_key"), "left_anti")
+        others = common.materialise(told.select("t_key").join(hits.select("text_key"), F.col("t_key") == F.col("text_key"), "left_anti"), "pii-others")
+        others = F.broadcast(others) if others.count() <= BROADCAST_KEYS else others
         fetched = texts.withColumn("x_key", F.xxhash64("text")).join(others, F.col("x_key") == F.col("t_key"), "left_semi").groupBy("x_key").agg(F.first("text").alias("x_text"))
         added = light.join(told, F.col("text_key") == F.col("t_key"), "left").join(fetched, F.col("text_key") == F.col("x_key"), "left").withColumn("text", F.coalesce("text", "x_text"))
     else:
