@@ -37,7 +37,7 @@ LOWER = 10
 PLACE = 20_000
 #: Pairs of nodes with one variant beyond which they are linked by way of the smallest one first.
 DENSE = 2_000
-#: Links of a node to smaller ones that a task gives at first; where it has more, its place counts as dense too.
+#: Links of a node to smaller ones that a task gives at first; where it has more, they count as dense too.
 THIN = 2
 #: Rows that a task gathers before it joins variants (whole groups), and pairs that it verifies at a time.
 GATHERED, VERIFIED = 60_000, 1 << 18
@@ -121,16 +121,31 @@ def _halves() -> list[tuple[int, int, int]]:
     return [h for shift, bits in SEGMENTS for h in ((shift, LOWER, shift), (shift + LOWER, bits - LOWER, shift))]
 
 
-def _places(words: int) -> Column:
-    """The places of a fingerprint: the number of a half that stays, with its value."""
+def _spots(words: int) -> Column:
+    """Where a fingerprint's variants lie: number of the half that stays, its value, value of the half with the wildcard. The
+    first two are the place."""
     out = []
+    halves = _halves()
+    value = lambda w, half: F.shiftrightunsigned(F.col(f"fp{w}"), half[0]).bitwiseAND(F.lit((1 << half[1]) - 1)).cast("int")
     for w in range(words):
-        for number, (shift, bits, _) in enumerate(_halves()):
-            value = F.shiftrightunsigned(F.col(f"fp{w}"), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-            out.append(F.lit((w * len(_halves()) + number) << 12) + value)
+        for number in range(len(halves)):
+            out.append(F.lit((w * len(halves) + number) << 24) + F.shiftleft(value(w, halves[number]), 12) + value(w, halves[number ^ 1]))
     return F.array(*out)
 
 
+def first_shared(different: np.ndarray) -> np.ndarray:
+    """For differences of fingerprints (pairs x words), the number of the first half at whose place the pair is found."""
+    out = np.full(len(different), 1 << 10, np.int64)
+    for w in range(different.shape[1] - 1, -1, -1):
+        for seg in range(len(SEGMENTS) - 1, -1, -1):
+            shift, bits = SEGMENTS[seg]
+            part = (different[:, w] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+            lower = part & np.uint64((1 << LOWER) - 1)
+            number = w * 2 * len(SEGMENTS) + 2 * seg
+            out = np.where(np.bitwise_count(part) <= 1, np.where(lower != 0, number + 1, number), out)
+    return out
+
+
 def _pairs(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of positions of left range x right range, range by range, about VERIFIED at a time."""
     rows = np.maximum(1, VERIFIED // np.maximum(right_size, 1))  # of a left range at a time
@@ -149,22 +164,19 @@ def _pairs(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_siz
         at = to
 
 
-def joined(group: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndarray, block: np.ndarray, prints: np.ndarray, n: np.ndarray, distance: int, similarity: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, positions, dense places): the verified pairs that share a variant at their places.
+def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarray, block: np.ndarray, prints: np.ndarray, n: np.ndarray, distance: int, similarity: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, positions, dense spots): the verified pairs that share a variant, each at the first place it does.
 
     Args:
         group: number of the group of each row, ascending; block: 0 or 1, of which side of a pair of blocks the row is
             (2: of a group that is not dealt).
         prints: rows x words; n: their different shingles. Of a pair the smaller must be `similarity` of the larger or more.
-            Pairs under one root are left out. Unless `all_pairs`, the pairs of nodes that have more than
-            DENSE of them under one variant, or between two, are those of their smallest nodes, and the place is reported.
+            Pairs under one root are left out. Unless `all_pairs`, the pairs of nodes that have more than DENSE of them under
+            one variant, or between two, are those of their smallest nodes, and their spots are reported.
     """
-    halves = _halves()
-    number = (place >> 12).astype(np.int64)
-    word, half = number // len(halves), number % len(halves)
-    other = half ^ 1  # the half with the wildcard
-    shift, bits = (np.array([h[i] for h in halves])[other] for i in (0, 1))
-    wild = ((prints[np.arange(len(node)), word] >> shift.astype(np.uint64)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    number, wild = (spot >> 24).astype(np.int64), (spot & 0xFFF).astype(np.int64)
+    half = number % len(_halves())
+    bits = np.array([h[1] for h in _halves()])[half ^ 1]  # of the half with the wildcard
     key = group.astype(np.int64) << 12 | wild
     _, kin = np.unique(root, return_inverse=True)
     order = np.lexsort((node, kin, key))
@@ -176,7 +188,7 @@ def joined(group: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndar
     inner_size = np.diff(np.append(inner, len(key)))
     run = np.cumsum(edge)[inner] - 1
     before = inner - head[run]
-    asked: list[tuple[np.ndarray, ...]] = []
+    asked: list[tuple] = []  # ranges to the left and right; whether they stand for more
     dense = np.zeros(len(head), bool)
     # Equal segments: every part of a run with the parts before it; taken at the lower half's place only.
     lower = half % 2 == 0
@@ -186,8 +198,8 @@ def joined(group: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndar
         dense = (pairs_of > DENSE) & lower[head]
         rest = once & dense[run]
         once &= ~dense[run]
-        asked.append((inner[rest], inner_size[rest], head[run[rest]], np.ones(int(rest.sum()), np.int64)))
-    asked.append((inner[once], inner_size[once], head[run[once]], before[once]))
+        asked.append((inner[rest], inner_size[rest], head[run[rest]], np.ones(int(rest.sum()), np.int64), True))
+    asked.append((inner[once], inner_size[once], head[run[once]], before[once], False))
     # Segments with one differing bit: every part of a run with the run that has that bit set, but for its own root's part.
     span = len(np.unique(kin))
     both = key[inner] * span + kin[inner]
@@ -200,29 +212,32 @@ def joined(group: np.ndarray, place: np.ndarray, node: np.ndarray, root: np.ndar
             continue
         if not all_pairs:
             thick = size[run[mine]] * size[at] > DENSE
-            dense[run[mine[thick]]] = True
-            asked.append((inner[mine[thick]], np.ones(int(thick.sum()), np.int64), head[at[thick]], np.ones(int(thick.sum()), np.int64)))
+            dense[run[mine[thick]]] = dense[at[thick]] = True
+            asked.append((inner[mine[thick]], np.ones(int(thick.sum()), np.int64), head[at[thick]], np.ones(int(thick.sum()), np.int64), True))
             mine, at = mine[~thick], at[~thick]
         same = key[head[at]] * span + kin[inner[mine]]
         low = np.searchsorted(both, same)
         found = (low < len(both)) & (both[np.minimum(low, len(both) - 1)] == same)
         stop = np.where(found, inner[np.minimum(low, len(inner) - 1)], head[at] + size[at])
         go = np.where(found, stop + inner_size[np.minimum(low, len(inner) - 1)], stop)
-        asked.append((inner[mine], inner_size[mine], head[at], stop - head[at]))
-        asked.append((inner[mine], inner_size[mine], go, head[at] + size[at] - go))
+        asked.append((inner[mine], inner_size[mine], head[at], stop - head[at], False))
+        asked.append((inner[mine], inner_size[mine], go, head[at] + size[at] - go, False))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for ranges in asked:
+    for *ranges, stands in asked:
         for a, b in _pairs(*ranges):
             a, b = order[a], order[b]
-            far = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int32)
+            different = prints[a] ^ prints[b]
+            far = np.bitwise_count(different).sum(axis=1, dtype=np.int32)
             good = (far <= distance) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (root[a] != root[b]) & ((block[a] != block[b]) | (block[a] == 2))
+            if not stands:  # at its first place a pair is given, or its spots are reported: the second search finds it there
+                good[good] = first_shared(different[good]) == number[a[good]]
             left.append(a[good])
             right.append(b[good])
-    return np.concatenate(left), np.concatenate(right), np.unique(place[order[head[dense]]])
+    return np.concatenate(left), np.concatenate(right), np.unique(spot[order[head[dense]]])
 
 
-def thinned(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which pairs stay, places of those that do not): of a node's different links to smaller ones THIN stay, the smallest."""
+def thinned(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which pairs stay: of a node's different links to smaller ones THIN, the smallest."""
     order = np.lexsort((low, high))
     l, h = low[order], high[order]
     new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
@@ -231,24 +246,25 @@ def thinned(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> tuple[np.nd
     rank = different - np.maximum.accumulate(np.where(new, different, 0)) if len(h) else different
     stay = np.zeros(len(h), bool)
     stay[order] = rank < THIN
-    return stay, np.unique(place[~stay])
+    return stay
 
 
-def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0.0, places: DataFrame | None = None, all_pairs: bool = False) -> DataFrame:
+def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0.0, spots: DataFrame | None = None, all_pairs: bool = False) -> DataFrame:
     """a, b, at: pairs of nodes under different roots that share a variant and differ by at most `distance` bits, each
-    once or more; and, with null a and b, the places at which dense nodes were linked by way of the smallest.
+    once or more; and, with null a and b, the spots at which dense nodes were linked by way of the smallest.
 
     Args:
         nodes: node long, root long, n int, fp0 long, ...; one row a node.
-        places: if given, only these (at int) are searched.
+        spots: if given, only these (at int) are searched.
         all_pairs: whether dense nodes are compared in pairs too.
     """
     spark = nodes.sparkSession
     prints = [f"fp{i}" for i in range(words)]
-    dealt = nodes.select("node", "root", "n", *prints, F.explode(_places(words)).alias("place"))
-    if places is not None:
-        side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        dealt = dealt.join(side, F.col("place") == F.col("at"), "left_semi")
+    dealt = nodes.select("node", "root", "n", *prints, F.explode(_spots(words)).alias("spot"))
+    if spots is not None:
+        side = F.broadcast(spots) if spots.count() <= BROADCAST_ROWS else spots
+        dealt = dealt.join(side, F.col("spot") == F.col("at"), "left_semi")
+    dealt = dealt.withColumn("place", F.shiftrightunsigned("spot", 12))
     hot = dealt.groupBy(F.col("place").alias("h_place")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PLACE)
     hot = common.materialise(hot.select("h_place", F.ceil(F.col("n") / PLACE).cast("int").alias("blocks")), "simhash-hot")
     n_hot = hot.count()
@@ -261,21 +277,22 @@ def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0
         dealt = dealt.withColumn("block", F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("own") == F.col("j")).cast("int")).cast("int"))
     else:
         dealt = dealt.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(2)})
-    columns = ["place", "i", "j", "block", "node", "root", "n", *prints]
+    columns = ["place", "i", "j", "block", "spot", "node", "root", "n", *prints]
     dealt = dealt.select(*columns).repartition(common.shuffle_partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def given(rows: list[np.ndarray]) -> pa.RecordBatch:
-            place, i, j, block, node, root, n, *fps = rows
+            place, i, j, block, spot, node, root, n, *fps = rows
             new = (place[1:] != place[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             group = np.concatenate(([0], np.cumsum(new)))
-            a, b, at = joined(group, place, node, root, block, np.stack(fps, axis=1).view(np.uint64), n, distance, similarity, all_pairs)
+            a, b, at = joined(group, spot, node, root, block, np.stack(fps, axis=1).view(np.uint64), n, distance, similarity, all_pairs)
             low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             if not all_pairs:
-                stay, more = thinned(low, high, place[a])
-                low, high, at = low[stay], high[stay], np.union1d(at, more)
+                stay = thinned(low, high)
+                at = np.unique(np.concatenate((at, spot[a[~stay]], spot[b[~stay]])))
+                low, high = low[stay], high[stay]
             a, b = np.unique(np.stack((low, high)), axis=1)
             none = np.zeros(len(at), np.int64)
             mask = np.arange(len(a) + len(at)) >= len(a)
@@ -343,7 +360,7 @@ class _Links:
         return self.tables[-1]
 
     def among(self, nodes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-        """(a, b: links; at: dense places) of nodes with roots."""
+        """(a, b: links; at: dense spots) of nodes with roots."""
         found = self.written(search(nodes, words=self.words, distance=self.distance, similarity=self.similarity or 0.0, **how), "simhash-pairs")
         pairs = found.where(F.col("a").isNotNull()).select("a", "b").distinct()
         dense = found.where(F.col("at").isNotNull()).select("at").distinct()
@@ -371,7 +388,7 @@ def _linked(nodes: DataFrame, links: _Links) -> DataFrame:
     groups = links.written(components(first), "simhash-groups")
     of = groups.select(F.col("node").alias("g_node"), "component")
     rooted = nodes.join(of, F.col("node") == F.col("g_node"), "left").withColumn("root", F.coalesce("component", "node"))
-    more, _ = links.among(links.written(rooted.drop("g_node", "component"), "simhash-rooted"), places=dense, all_pairs=True)
+    more, _ = links.among(links.written(rooted.drop("g_node", "component"), "simhash-rooted"), spots=dense, all_pairs=True)
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 

@@ -242,7 +242,8 @@ def _training(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int) -
     if total > sample_rows:
         marked = marked.where(part < int(1_000_000 * sample_rows / total))
     plain = docs.select(F.col("doc_id").cast("long").alias("d_id"), common.text_or_empty().alias("text"))
-    return marked.join(plain, F.col("l_id") == F.col("d_id")).select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "label", "text")
+    # About `sample_rows` rows of two numbers at most, so texts stay where they are.
+    return plain.join(F.broadcast(marked), F.col("l_id") == F.col("d_id")).select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexicon_size: int = 4_000, min_weight: float = 2.0, seed: int = 5) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
