@@ -58,7 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(rows, keep=("row_key",)).select("row_key", "size", "taken", "epochs")
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.least(F.col("epochs"), F.lit(1))).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    joined = rows.join(taken, "row_key").withColumns({"whole": whole, "rest": rest})
+    # Hashed on the light side, so texts are not sorted.
+    joined = rows.join(taken.hint("shuffle_hash"), "row_key").withColumns({"whole": whole, "rest": rest})
     # `part` is 0 for a whole copy, else the words to keep.
     parts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("whole")), F.when(F.col("rest") > 0, F.array(F.col("rest").cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)")))
     copies = joined.withColumn("part", F.explode(parts))
