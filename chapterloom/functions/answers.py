@@ -30,7 +30,8 @@ def last_line(answer: Column) -> Column:
 
 def without_echo(answer: Column, source: Column) -> Column:
     """What follows the last repetition of the source, else the answer."""
-    parts = F.split(answer, F.concat(F.lit(r"\Q"), source, F.lit(r"\E")), -1)
+    quoted = F.replace(source, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # an end of quoting in the source is quoted too
+    parts = F.split(answer, F.concat(F.lit(r"\Q"), quoted, F.lit(r"\E")), -1)
     return F.when((source != "") & (F.size(parts) > 1), strip(F.element_at(parts, -1))).otherwise(answer)
 
 

@@ -81,13 +81,18 @@ def buffered(tokens: Column) -> Column:
 
 
 def sentence_pieces(text: Column, most: int = 1500) -> Column:
-    """Sentences packed greedily into pieces of at most `most` characters; a longer sentence is cut."""
-    cut = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[^。！？.!?]+[。！？.!?]?"), F.lit(0)), lambda s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most)))))
+    """A text of at most `most` characters as it is; else its sentences (with all stops that end them, so nothing is lost)
+    packed greedily into pieces, and pieces that are longer cut every `most` characters."""
+    sentences = F.regexp_extract_all(text, F.lit(r"(?s)[^。！？.!?]++[。！？.!?]*+|[。！？.!?]++"), F.lit(0))
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = F.length(acc["open"]) + F.length(s) <= most
-        return F.when(fits, F.struct(F.concat(acc["open"], s).alias("open"), acc["out"].alias("out"))).otherwise(F.struct(s.alias("open"), F.concat(acc["out"], F.array(acc["open"])).alias("out")))
-
-    return F.aggregate(cut, start, step, lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]))))
+        # A first sentence that does not fit is cut once; any other begins a piece of its own.
+        done = F.when(acc["open"] != "", acc["open"]).otherwise(F.substring(s, 1, most))
+        rest = F.when(acc["open"] != "", s).otherwise(F.substring(s, F.lit(most + 1), F.length(s)))
+        return F.when(fits, F.struct(F.concat(acc["open"], s).alias("open"), acc["out"].alias("out"))).otherwise(F.struct(rest.alias("open"), F.concat(acc["out"], F.array(done)).alias("out")))
+
+    packed = F.aggregate(sentences, start, step, lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]))))
+    cut = F.flatten(F.transform(packed, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most)))))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)

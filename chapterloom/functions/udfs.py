@@ -12,7 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Placeholder codes of inline elements.
-CODES = {"b": "B", "strong": "B", "i": "I", "em": "I", "u": "U", "a": "A", "span": "SPAN", "ruby": "RUBY", "sub": "SUB", "sup": "SUP", "br": "BR", "img": "IMG"}
+CODES = {
+    "a": "A",
+    "b": "B",
+    "br": "BR",
+    "div": "DIV",
+    "em": "EM",
+    "hr": "HR",
+    "i": "I",
+    "img": "IMG",
+    "ruby": "RUBY",
+    "s": "S",
+    "span": "SPAN",
+    "strong": "B",
+    "table": "TABLE",
+    "u": "U",
+}
+#: Elements without content.
+VOID = ("br", "hr", "img")
 DEEPEST = 3
 
 
@@ -23,8 +40,9 @@ def fidelity(expected: pd.Series, actual: pd.Series) -> pd.Series:
 
 
 def to_placeholders(fragment: str) -> tuple[str, dict[str, str]]:
-    """(text with placeholders, placeholder -> opening tag) of a well-formed fragment. Elements nested deeper than DEEPEST
-    have no placeholder; their text stays. Malformed text stays as it is."""
+    """(text with placeholders, placeholder -> opening tag) of a well-formed fragment. Every element with a code is counted;
+    those nested deeper than DEEPEST in such elements have no placeholder in the text, void ones no closing. Other elements
+    leave their text only. Malformed text stays as it is."""
     try:
         root = ET.fromstring(f"<x>{fragment}</x>")
     except ET.ParseError:
@@ -35,23 +53,31 @@ def to_placeholders(fragment: str) -> tuple[str, dict[str, str]]:
     def walk(node: ET.Element, depth: int) -> str:
         out = [node.text or ""]
         for child in node:
-            code = CODES.get(child.tag.rsplit("}", 1)[-1], child.tag.upper())
-            if depth < DEEPEST and re.fullmatch("[A-Z]+", code):
-                counts[code] = counts.get(code, 0) + 1
-                name = f"{code}_{counts[code]}"
-                attributes = "".join(f' {k}="{v}"' for k, v in child.attrib.items())
-                tags[name] = f"<{child.tag}{attributes}>"
-                out.append(f"⟦{name}⟧{walk(child, depth + 1)}⟦/{name}⟧")
+            tag = child.tag.rsplit("}", 1)[-1].lower()
+            if tag not in CODES:
+                out.append(walk(child, depth))
             else:
-                out.append(walk(child, depth + 1))
+                counts[CODES[tag]] = counts.get(CODES[tag], 0) + 1
+                name = f"{CODES[tag]}_{counts[CODES[tag]]}"
+                attributes = "".join(f' {k}="{v}"' for k, v in child.attrib.items())
+                tags[name] = f"<{tag}{attributes}{' /' if tag in VOID else ''}>"
+                shown = depth < DEEPEST
+                out.append(f"⟦{name}⟧" if shown else "")
+                if tag not in VOID:
+                    out += [walk(child, depth + 1), f"⟦/{name}⟧" if shown else ""]
             out.append(child.tail or "")
         return "".join(out)
 
     return walk(root, 0), tags
 
 
+def _closing(opening: str) -> str:
+    return "</" + re.match(r"<([^\s/>]+)", opening).group(1) + ">"
+
+
 def from_placeholders(text: str, tags: dict[str, str]) -> tuple[str, list[str]]:
-    """(markup, warnings): a stack closes what is open; unknown, unexpected and dangling placeholders are reported."""
+    """(markup, warnings): a stack closes what is open. An unknown placeholder stays in the text, a closing that nothing
+    opened becomes a closing tag, what is left open is closed; each is reported."""
     out, stack, warnings, at = [], [], [], 0
     for m in re.finditer(r"⟦(/?)([A-Z]+_\d+)⟧", text):
         out.append(text[at : m.start()])
@@ -59,22 +85,25 @@ def from_placeholders(text: str, tags: dict[str, str]) -> tuple[str, list[str]]:
         closing, name = m.group(1) == "/", m.group(2)
         if name not in tags:
             warnings.append(f"Unknown placeholder {name}")
+            out.append(m.group())
         elif not closing:
-            stack.append(name)
+            if not tags[name].endswith("/>"):
+                stack.append(name)
             out.append(tags[name])
         elif name not in stack:
             warnings.append(f"Unexpected closing {name}")
+            out.append(_closing(tags[name]))
         else:
             while True:
                 top = stack.pop()
-                out.append("</" + re.match(r"<([^\s>]+)", tags[top]).group(1) + ">")
+                out.append(_closing(tags[top]))
                 if top == name:
                     break
                 warnings.append(f"Dangling opening {top}")
     out.append(text[at:])
     for top in reversed(stack):
         warnings.append(f"Dangling opening {top}")
-        out.append("</" + re.match(r"<([^\s>]+)", tags[top]).group(1) + ">")
+        out.append(_closing(tags[top]))
     return "".join(out), warnings
 
 
@@ -91,6 +120,12 @@ def restore_placeholders(texts: pd.Series, tags: pd.Series) -> pd.Series:
     return pd.Series([from_placeholders(t or "", dict(g or {}))[0] for t, g in zip(texts, tags, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def restore_warnings(texts: pd.Series, tags: pd.Series) -> pd.Series:
+    """What restoring a text reports: a block with any of it is not to be published."""
+    return pd.Series([from_placeholders(t or "", dict(g or {}))[1] for t, g in zip(texts, tags, strict=True)])
+
+
 def generator(make_client: Callable[[], Callable[[str], str]], retries: int = 2):
     """The seam for a text model: one client a Python worker, retried; the default client of the tests is deterministic.
     Filters belong before it: Catalyst moves none below a function that is not deterministic."""

@@ -164,10 +164,14 @@ def deferred_resolution(deferred: DataFrame, locked: DataFrame) -> DataFrame:
     return deferred.join(side, ["norm", "category"]).select("release_id", "norm", "category", "target_term", F.lit("promoted").alias("status"))
 
 
-def admitted(rows: DataFrame, chapters: DataFrame) -> DataFrame:
+#: Fixed value: letters that a source term must not hold.
+LATIN = "[A-Za-z]"
+
+
+def admitted(rows: DataFrame, chapters: DataFrame, forbidden: str = LATIN) -> DataFrame:
     """Entities whose term holds a forbidden letter or is not in the chapter are refused, with the reason."""
     joined = rows.join(chapters.select("release_id", "chapter_number", "text"), ["release_id", "chapter_number"])
-    verdict = F.when(F.col("source_term").rlike("[0-9]"), "forbidden_letter").when(~F.col("text").contains(F.col("source_term")), "not_in_chapter").otherwise("admitted")
+    verdict = F.when(F.col("source_term").rlike(forbidden), "forbidden_letter").when(~F.col("text").contains(F.col("source_term")), "not_in_chapter").otherwise("admitted")
     return joined.select("release_id", "chapter_number", "row_index", "source_term", verdict.alias("verdict"))
 
 

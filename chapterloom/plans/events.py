@@ -62,7 +62,7 @@ PLANS = {
     "event_sampling": (on(ops.persisted), f"""{W}, p AS (SELECT *, {levels.PROGRESS_SQL} AND NOT {levels.CRITICAL_SQL} AS sampled FROM tev),
       n AS (SELECT *, row_number() OVER (PARTITION BY run_id, event_type, sampled ORDER BY event_us, event_id) AS n FROM p)
       SELECT event_id, run_id, event_type FROM n WHERE NOT sampled OR n = 1 OR n % 25 = 0"""),
-    "event_dedupe": (on(lambda t: ops.deduped(t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0"))), f"""{W}, b AS (SELECT *, 0 AS side FROM tev WHERE event_id % 2 = 0 UNION ALL SELECT *, 1 FROM tev WHERE event_id % 3 = 0)
+    "event_dedupe": (on(lambda t: ops.deduped(t.where("event_id % 3 <> 0 OR event_id % 2 = 0"), t.where("event_id % 3 = 0"))), f"""{W}, b AS (SELECT *, 0 AS side FROM tev WHERE event_id % 3 <> 0 OR event_id % 2 = 0 UNION ALL SELECT *, 1 FROM tev WHERE event_id % 3 = 0)
       SELECT {', '.join(ops.SIGNATURE)}, event_id, side FROM b QUALIFY row_number() OVER (PARTITION BY {', '.join(ops.SIGNATURE)} ORDER BY side, event_us, event_id) = 1"""),
     "event_tail_dedupe": (on(lambda t: ops.tail_deduped(t.unionByName(t.where("event_id % 7 = 0")))), f"{W} SELECT min(event_id) AS event_id, event_us, run_id, event_type FROM tev GROUP BY {', '.join(ops.SIGNATURE)}, block_id, k, event_us"),
     "available_filters": (on(ops.available_filters), f"{W} SELECT DISTINCT 'stage' AS kind, stage_name AS value FROM tev UNION SELECT DISTINCT 'chapter', CAST(chapter_number AS VARCHAR) FROM tev"),

@@ -110,6 +110,17 @@ def bl(f, *views):
     return lambda spark, sf_dir: f(A.blocks(spark, sf_dir), *(v(spark) for v in views))
 
 
+#: The tables' words in letters of another script, as source terms are.
+_ROMAN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+_OTHER = f"translate(lower({{}}), '{_ROMAN}', '{_SCRIPT}')"
+
+
+def admission(s: SparkSession, d: str) -> DataFrame:
+    other = lambda c: F.translate(F.lower(c), _ROMAN, _SCRIPT)
+    more = F.when(F.col("row_index") % 5 == 0, "7").when(F.col("row_index") % 7 == 0, "zq").otherwise("")
+    return ops.admitted(A.mentions(s, d).withColumn("source_term", F.concat(other("source_term"), more)), A.chapters(s, d).withColumn("text", other("text")))
+
+
 PLANS = {
     "candidate_merge": (candidates, f"{CAND} SELECT * FROM cand"),
     "candidate_filter": (lambda s, d: ops.filtered_candidates(candidates(s, d), dates=(*T.DATES, "[A-Za-z]{5}"), stoplist=(*T.STOPLIST, "Ththe", "Ereine", "Eauleau", "Osque")).select("release_id", "norm", "category", "status", "reason"),
@@ -144,9 +155,8 @@ PLANS = {
     "deferred_entities": (lambda s, d: ops.deferred_entities(A.mentions(s, d), locked(s, d)), f"""{TARGETED} SELECT release_id, norm, category, min(chapter_number) AS source_chapter, max(chapter_number) AS last_seen, count(*) AS appearances, arg_min(source_term, CAST(chapter_number AS BIGINT) * 1000000 + row_index) AS term_text
       FROM mentions m WHERE NOT EXISTS (SELECT 1 FROM locked l WHERE l.norm = m.norm AND l.category = m.category) GROUP BY 1, 2, 3"""),
     "deferred_resolution": (lambda s, d: ops.deferred_resolution(candidates(s, d), locked(s, d)), f"{TARGETED} SELECT release_id, norm, category, l.target AS target_term, 'promoted' AS status FROM tc JOIN locked l USING (norm, category)"),
-    "entity_admission": (lambda s, d: ops.admitted(A.mentions(s, d).withColumn("source_term", F.when(F.col("row_index") % 5 == 0, F.concat("source_term", F.lit("7"))).when(F.col("row_index") % 7 == 0, F.concat("source_term", F.lit("zq"))).otherwise(F.col("source_term"))), A.chapters(s, d)),
-      f"""{W}, x AS (SELECT release_id, chapter_number, row_index, CASE WHEN row_index % 5 = 0 THEN source_term || '7' WHEN row_index % 7 = 0 THEN source_term || 'zq' ELSE source_term END AS source_term FROM mentions)
-      SELECT release_id, chapter_number, row_index, source_term, CASE WHEN regexp_matches(source_term, '[0-9]') THEN 'forbidden_letter' WHEN NOT contains(text, source_term) THEN 'not_in_chapter' ELSE 'admitted' END AS verdict FROM x JOIN chapters USING (release_id, chapter_number)"""),
+    "entity_admission": (admission, f"""{W}, x AS (SELECT release_id, chapter_number, row_index, {_OTHER.format('source_term')} || CASE WHEN row_index % 5 = 0 THEN '7' WHEN row_index % 7 = 0 THEN 'zq' ELSE '' END AS source_term FROM mentions)
+      SELECT release_id, chapter_number, row_index, source_term, CASE WHEN regexp_matches(source_term, '[A-Za-z]') THEN 'forbidden_letter' WHEN NOT contains({_OTHER.format('text')}, source_term) THEN 'not_in_chapter' ELSE 'admitted' END AS verdict FROM x JOIN chapters USING (release_id, chapter_number)"""),
     "llm_payload_parse": (lambda s, d: ops.parsed_payloads(payloads(s, d), "payload", ("person", "place")), """SELECT doc_id, row_index, source_term, entity_type, confidence, lore FROM (
         SELECT doc_id, 0 AS row_index, source AS source_term, CASE doc_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'place' ELSE 'bogus' END AS entity_type, CASE WHEN doc_id % 2 = 0 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence, 'lore' AS lore FROM documents WHERE doc_id % 5 <> 0
         UNION ALL SELECT doc_id, 2, lang, 'place', CAST(0.25 AS DOUBLE), NULL FROM documents WHERE doc_id % 5 <> 0) WHERE entity_type <> 'bogus'"""),

@@ -31,14 +31,14 @@ def round_trip(spark, sf_dir):
 
 
 def generated(spark, sf_dir):
-    """The generator seam with a deterministic client, on filtered rows only."""
-    rows = A.table(spark, sf_dir, "benchmark").where("item_id % 2 = 0")
-    return rows.select("item_id", udfs.generator(lambda: lambda p: f"out: {p[:20]}")(F.col("text")).alias("output"))
+    """The generator seam with a deterministic client."""
+    rows = A.table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", udfs.generator(lambda: lambda p: f"out: {p}")(F.col("text")).alias("output"))
 
 
 def raw_answers(spark, sf_dir):
     """Model answers in their usual disguises."""
-    n, t = F.col("doc_id") % 4, F.substring(F.regexp_replace("text", r"[\s`:]+", " "), 1, 40)
+    n, t = F.col("doc_id") % 4, F.regexp_replace("text", r"[\s`:]+", " ")
     answer = F.when(n == 0, F.concat(F.lit("```json\n"), t, F.lit("\n```"))).when(n == 1, F.concat(F.lit("thinking\nTranslation: "), t)).when(n == 2, F.concat(F.col("source"), F.lit(" -> "), F.col("source"), F.lit(" = "), t)).otherwise(t)
     return A.table(spark, sf_dir, "documents").select("doc_id", "source", answer.alias("answer"))
 
@@ -48,15 +48,15 @@ def cleaned_answers(spark, sf_dir):
     return r.select("doc_id", answers.without_fence(F.col("answer")).alias("unfenced"), answers.last_line(F.col("answer")).alias("last_line"), answers.without_echo(F.col("answer"), F.col("source")).alias("unechoed"))
 
 
-_T = "trim(left(regexp_replace(text, '[\\s`:]+', ' ', 'g'), 40))"
-_RAW = "left(regexp_replace(text, '[\\s`:]+', ' ', 'g'), 40)"
+_T = "trim(regexp_replace(text, '[\\s`:]+', ' ', 'g'))"
+_RAW = "regexp_replace(text, '[\\s`:]+', ' ', 'g')"
 _RT = """SELECT conv_id, turn, '⟦B_1⟧⟦I_1⟧' || regexp_replace(source_text, '[<>&]', '', 'g') || '⟦/I_1⟧ and⟦/B_1⟧ more' AS text, true AS same FROM pairs"""
 
 PLANS = {
     "page_blocks": (lambda s, d: html.page_blocks(A.table(s, d, "pages")), None),
     "page_tags": (html_tags, "SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<br')) AS breaks FROM pages"),
     "placeholder_round_trip": (round_trip, f"WITH {A.PAIRS} {_RT}"),
-    "generator_seam": (generated, "SELECT item_id, 'out: ' || left(text, 20) AS output FROM benchmark WHERE item_id % 2 = 0"),
+    "generator_seam": (generated, "SELECT item_id, 'out: ' || text AS output FROM benchmark"),
     "answer_cleanup": (cleaned_answers, f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_T} WHEN 1 THEN trim('thinking' || chr(10) || 'Translation: ' || {_RAW}) WHEN 2 THEN trim(source || ' -> ' || source || ' = ' || {_RAW}) ELSE {_T} END AS unfenced,
       CASE doc_id % 4 WHEN 0 THEN '```' WHEN 2 THEN trim(source || ' -> ' || source || ' = ' || {_RAW}) ELSE {_T} END AS last_line,
       CASE doc_id % 4 WHEN 0 THEN '```json' || chr(10) || {_RAW} || chr(10) || '```' WHEN 1 THEN 'thinking' || chr(10) || 'Translation: ' || {_RAW} WHEN 2 THEN trim('= ' || {_RAW}) ELSE {_RAW} END AS unechoed FROM documents"""),

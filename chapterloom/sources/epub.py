@@ -36,7 +36,7 @@ def spine(book: zipfile.ZipFile) -> list[str]:
     root, base = ET.fromstring(book.read(package)), posixpath.dirname(package)
     manifest = {e.attrib["id"]: (e.attrib["href"], e.attrib.get("media-type", "")) for e in root.iter() if _local(e.tag) == "item"}
     listed = [manifest[e.attrib["idref"]] for e in root.iter() if _local(e.tag) == "itemref" and e.attrib["idref"] in manifest]
-    return [posixpath.join(base, href) for href, kind in listed if kind in DOCUMENT_TYPES or href.endswith(DOCUMENT_ENDS)]
+    return [posixpath.join(base, href) for href, kind in listed if kind in DOCUMENT_TYPES or href.lower().endswith(DOCUMENT_ENDS)]
 
 
 def leaf_blocks(document: bytes) -> Iterator[tuple[str, str]]:

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chapterloom.functions import levels, text, udfs
+from chapterloom.functions import answers, levels, text, udfs
 from chapterloom.operators import events, glossary, graph, merge, packets, quality, summaries
 from chapterloom.sources import epub, html, tables
 
@@ -164,11 +164,13 @@ def test_normalised_terms(spark):
 
 
 def test_placeholders_round_trip():
-    for markup in ('<b class="x"><i>文本</i></b>', "plain", "a<br></br>b", "<span>x<u>y</u></span>z"):
+    for markup in ('<b class="x"><i>文本</i></b>', "plain", "a<br />b", "<em>x</em><hr /><s>y</s>", "<span>x<u>y</u></span>z"):
         placed, tags = udfs.to_placeholders(markup)
         assert udfs.from_placeholders(placed, tags) == (markup, [])
     placed, tags = udfs.to_placeholders("<b>1<i>2<span>3<u>4</u></span></i></b>")
-    assert "SPAN_1" in tags and "U_1" not in tags
+    assert placed == "⟦B_1⟧1⟦I_1⟧2⟦SPAN_1⟧34⟦/SPAN_1⟧⟦/I_1⟧⟦/B_1⟧" and tags["U_1"] == "<u>"
+    assert udfs.to_placeholders("x<font>y<b>z</b></font>")[0] == "xy⟦B_1⟧z⟦/B_1⟧"
+    assert udfs.from_placeholders("x⟦/B_1⟧y⟦Z_3⟧", {"B_1": "<b>"}) == ("x</b>y⟦Z_3⟧", ["Unexpected closing B_1", "Unknown placeholder Z_3"])
     assert udfs.from_placeholders("⟦B_1⟧x⟦/Q_9⟧", {"B_1": "<b>"})[1] == ["Unknown placeholder Q_9", "Dangling opening B_1"]
     assert udfs.to_placeholders("a & <b")[0] == "a & <b"
 
@@ -217,3 +219,40 @@ def test_table_formats(spark, tmp_path):
         con.execute("create table t(a integer, b text)")
         con.execute("insert into t values (1, 'x')")
     assert tables.read_sqlite(spark, str(tmp_path / "t.db"), "select a, b from t", "a long, b string").collect() == [(1, "x")]
+
+
+def pieces(t, most):
+    """Sentence pieces by the stated rule, one step after the other."""
+    import re
+
+    if len(t) <= most:
+        return [t]
+    out, now = [], ""
+    for s in re.findall(r"[^。！？.!?]+[。！？.!?]*|[。！？.!?]+", t):
+        if len(now) + len(s) <= most:
+            now += s
+        elif now:
+            out, now = [*out, now], s
+        else:
+            out, now = [*out, s[:most]], s[most:]
+    out += [now] if now else []
+    return [p[i : i + most] for p in out for i in range(0, len(p), most)]
+
+
+def test_sentence_pieces(spark):
+    texts = ["", "wait... what", "!!!", "...a", "a b. " * 30, "x" * 95 + ". y. z", "a. " + "x" * 95 + "... y. z", "。" * 50, "一二三。四五六！" * 9, "no stop at all " * 8]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.sentence_pieces(F.col("t"), 40).alias("p")).collect()
+    for r in got:
+        assert r.p == pieces(texts[r.i], 40) and "".join(r.p) == texts[r.i]
+
+
+def test_terms_in_another_script_are_admitted(spark):
+    rows = spark.createDataFrame([("r", 1, 0, "张三"), ("r", 1, 1, "A张"), ("r", 1, 2, "李7"), ("r", 1, 3, "第7章")], "release_id string, chapter_number int, row_index int, source_term string")
+    chapters = spark.createDataFrame([("r", 1, "张三在第7章")], "release_id string, chapter_number int, text string")
+    found = {r.row_index: r.verdict for r in glossary.admitted(rows, chapters).collect()}
+    assert found == {0: "admitted", 1: "forbidden_letter", 2: "not_in_chapter", 3: "admitted"}
+
+
+def test_echo_with_an_end_of_quoting(spark):
+    rows = spark.createDataFrame([(r"a\E(b = out", r"a\E(b"), ("plain", r"\E")], "answer string, source string")
+    assert [r[0].strip(" =") for r in rows.select(answers.without_echo(F.col("answer"), F.col("source"))).collect()] == ["out", "plain"]
