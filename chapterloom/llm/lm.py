@@ -150,6 +150,11 @@ def _summed(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return sorted_[heads], np.add.reduceat(np.take(rows, order, axis=0), heads, axis=0)
 
 
+def _hashed(w: str) -> int:
+    """The number of a word outside the vocabulary."""
+    return 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % UNKNOWN
+
+
 class Numbering:
     """Texts to numbers. Words as they stand are remembered (a bound on memory only); those outside the vocabulary have
     the number of their hash."""
@@ -162,7 +167,7 @@ class Numbering:
         w = word(raw)
         n = self.vocabulary.get(w)
         if n is None:
-            n = 1 + zlib.crc32(w.encode("utf-8", "surrogatepass")) % UNKNOWN
+            n = _hashed(w)
         if len(self.known) >= self.remembered:
             self.known.clear()
         self.known[raw] = n
@@ -182,8 +187,9 @@ def windows(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([stream[at + w] for w in WINDOW], axis=1), stream[at]
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """({word: number}, counts by number): the most frequent words of all documents, ties in code-point order."""
+def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """({word: number}, counts by number, log of the different words by number): the most frequent words of all documents,
+    ties in code-point order; how many words each number outside the vocabulary stands for is counted over all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -213,7 +219,13 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     for i, r in enumerate(top):
         counts[first + i] = r.n
     counts[1:first] = max(0, total - counts.sum()) / UNKNOWN
-    return {r.word: first + i for i, r in enumerate(top)}, counts
+    known = {r.word: first + i for i, r in enumerate(top)}
+    shared = np.zeros(VOCABULARY)
+    for r in sums.groupBy((1 + F.crc32(F.col("word").cast("binary")) % UNKNOWN).alias("number")).agg(F.count(F.lit(1)).alias("words")).collect():
+        shared[r.number] = r.words
+    for w in known:
+        shared[_hashed(w)] -= 1
+    return known, counts, np.log(np.maximum(shared, 1))
 
 
 def numbered(docs: DataFrame, known: dict[str, int]) -> DataFrame:
@@ -277,12 +289,14 @@ def score(docs: DataFrame, **training) -> DataFrame:
 
     Args:
         docs: doc_id long, text string; other columns are ignored, whatever their names.
+    A word outside the vocabulary is predicted by its hashed number and an equal share of that number's probability for each
+    of its words in the corpus, so it costs as much as they are many.
     A null text and a text without words have no tokens, log-likelihood 0, and null mean and perplexity. Repeated rows
     are scored alike. An empty table gives no rows. Figures are rounded to four places, as sums over partitions can
     differ in their last digits.
     """
     common.text_batches(docs.sparkSession)
-    known, counts = vocabulary(docs)
+    known, counts, shared = vocabulary(docs)
     ids = numbered(docs, known)
     parameters = train(ids, counts, **training)
 
@@ -295,6 +309,7 @@ def score(docs: DataFrame, **training) -> DataFrame:
                 context, target = windows(documents)
                 parts = [network.forward(context[i : i + SCORED], target[i : i + SCORED]).astype(np.float64) for i in range(0, len(target), SCORED)]
                 logs = np.concatenate([*parts, np.zeros(1)])
+                logs[: len(target)] -= shared[target]
                 lengths = np.array([len(d) for d in documents])
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 ends = np.cumsum(lengths)
