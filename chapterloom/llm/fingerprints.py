@@ -27,6 +27,8 @@ SIDE = 8
 #: Digests of both versions that a block is meant to hold, and the tries of a block, each at twice the cells.
 BLOCK_LOAD, TRIES = 8, 6
 ROUNDS = 10
+#: Intervals of ids with about equally many documents, each cut into equal steps: an outlying id spoils one of them.
+COARSE = 64
 CELL = "struct<n:int,key:bigint,check:int>"
 
 
@@ -179,19 +181,33 @@ def written(cells: Column) -> Column:
     return F.lower(F.array_join(F.transform(cells, one), ""))
 
 
+def _range(doc_id: Column, edges: list[int], ranges: int) -> Column:
+    """About `ranges` numbers that ascend with the id: the interval between `edges`, then equal steps inside it."""
+    steps = -(-ranges // max(1, len(edges) - 1))
+    limits = F.array(*(F.lit(e).cast("long") for e in edges))
+    inner = F.array(*(F.lit(e).cast("long") for e in edges[1:-1])) if len(edges) > 2 else F.expr("cast(array() as array<bigint>)")
+
+    def inside(interval: Column) -> Column:
+        low, high = (F.element_at(limits, interval + i).cast("double") for i in (1, 2))
+        step = F.floor((doc_id.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps).cast("int")
+        return interval * steps + F.greatest(F.lit(0), F.least(F.lit(steps - 1), step))
+
+    return _bind(F.size(F.filter(inner, lambda e: e <= doc_id)), inside)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, keys, next_text, next_keys: each document beside the next one by descending doc_id, the last beside the first.
 
-    Ids are cut into ranges, each ordered in one task; a range's first document is sent to the range before it as well.
+    Ids are cut into ranges between approximate percentiles, each ordered in one task; a range's first document is sent to the range before it as well.
     Ties in ids go by text hash; null ids come last.
     """
     spark = docs.sparkSession
     text = common.text_or_empty()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("order"), F.xxhash64(text).alias("tie"))
-    ends = plain.agg(F.min("doc_id").cast("double").alias("low"), F.max("doc_id").cast("double").alias("high")).first()
     ranges = 4 * common.shuffle_partitions(spark)
-    low, width = ends.low or 0.0, max(1.0, ((ends.high or 0.0) - (ends.low or 0.0) + 1) / ranges)
-    plain = plain.withColumn("range", F.coalesce(F.least(F.lit(ranges - 1), F.floor((F.col("doc_id").cast("double") - low) / width).cast("int")), F.lit(-1)))
+    ends = plain.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 1000).alias("cuts")).first()
+    edges = sorted({ends.low or 0, (ends.high or 0) + 1, *(ends.cuts or [])})
+    plain = plain.withColumn("range", F.coalesce(_range(F.col("doc_id"), edges, ranges), F.lit(-1)))
     up = Window.orderBy("range")
     heads = plain.groupBy("range").agg(F.max(F.struct("order", "tie")).alias("head"))
     heads = heads.select(F.col("range").alias("h_range"), "head", F.coalesce(F.lead("range").over(up), F.min("range").over(Window.partitionBy())).alias("to"))
