@@ -39,14 +39,32 @@ def test_blocks_stop_early_and_late():
         m[:50] *= 7
         q = m[:40]
         ids = np.arange(700) * 3
-        a, b, s = topk.search_block(q, ids[:40], m, ids, 20)
-        got = {(int(x), int(y), int(z)) for x, y, z in zip(a, b, s)}
         exact = q @ m.T
+        none = np.full(40, topk.NONE)
+        a, b, s = topk.search_block(q, ids[:40], none, topk.segments(m), m, ids, 20)
+        got = {(int(x), int(y), int(z)) for x, y, z in zip(a, b, s)}
         want = set()
         for i in range(40):
             order = sorted((j for j in range(700) if j != i), key=lambda j: (-exact[i, j], j))[:20]
             want |= {(i, j, int(exact[i, j])) for j in order}
         assert got == want
+        floors = np.sort(exact, axis=1)[:, -5]
+        a, b, s = topk.search_block(q, ids[:40], floors, topk.segments(m), m, ids, 20)
+        assert {(int(x), int(y), int(z)) for x, y, z in zip(a, b, s)} == {(i, j, x) for i, j, x in want if x >= floors[i]}
+
+
+def test_many_blocks_share_one_index(spark, monkeypatch):
+    """Ten blocks of rows and several of queries: a floor carried from the first block loses nothing, ties included."""
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.3, 12).astype(np.float32).tolist()) for i in range(300)] + [(300 + i, [0.25] * 12) for i in range(100)]
+    written = []
+    kept = topk.common.materialise
+    monkeypatch.setattr(topk.common, "materialise", lambda df, name: written.append(name) or kept(df, name))
+    found = topk.top_k(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)).collect()
+    assert {tuple(r) for r in found} == brute(rows, 20) and len(found) == len(set(found))
+    assert written.count("topk-index") == 1
 
 
 def test_segments_hold_each_posting_once():
