@@ -19,8 +19,11 @@ A byte of a document goes if it lies in a `length`-byte string that also starts
 
 Step 1 only leaves out what cannot repeat; hash collisions there cost time, not results, as step 3 compares bytes.
 
-Scale: documents lie in compressed chunks in a bucketed table and do not move after that. Every shuffle holds one row per (chunk, shard). A shard's memory is
-set by the number of shuffle partitions, its queues are bounded and spill to the task's own temporary folder.
+Scale: documents lie in compressed chunks in a bucketed table and do not move after that. Every shuffle holds one row per
+(chunk, shard). A shard's memory is
+bounded: beyond SHARD_RECORDS its records and bits are in files of the task's own temporary folder, and are judged hash
+range by hash range (contexts of different hashes never meet); queues spill there too. A hash that alone has more is sorted
+by one task, column by column. A document of any length sends a slice of its anchors at a time, equal contexts once.
 """
 
 from __future__ import annotations
@@ -47,6 +50,10 @@ CHUNK_BYTES = 2 << 20
 QUEUE_TUPLES = 4_000_000
 #: Tuples that are dealt at a time.
 BATCH = 1 << 16
+#: Records of a shard that are judged at a time, and beyond which its records are kept in a file.
+SHARD_RECORDS = 400_000
+#: Anchors whose contexts are cut out at a time.
+SLICE = 1 << 15
 NONE = np.iinfo(np.int64).max  # a null doc_id comes last
 
 
@@ -209,9 +216,29 @@ class RangeLeast:
         return out
 
 
-def sorted_suffixes(contexts: np.ndarray, last: int, limit: int = QUEUE_TUPLES) -> Iterator[tuple[int, _Tee]]:
-    """(start, tuples) for start = last, last - 1, ... 0: the suffixes from `start` of all contexts (m x width, values
-    0 to 256), in order, with their common prefixes with the one before. The caller must read all of a start's tuples."""
+class Contexts:
+    """Contexts as values 1 to 256, and 0 outside the text [low, high), made column by column from their bytes."""
+
+    def __init__(self, data: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.columns, self.low, self.high = np.ascontiguousarray(data.T), low, high
+        self.shape = data.shape
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def column(self, at: int) -> np.ndarray:
+        return np.where((at >= self.low) & (at < self.high), self.columns[at].astype(np.int16) + 1, 0).astype(np.int16)
+
+    @classmethod
+    def of(cls, values: np.ndarray) -> Contexts:
+        """From an m x width array of values, 0 at the ends only."""
+        inside = values != 0
+        low = np.where(inside.any(axis=1), inside.argmax(axis=1), 0)
+        return cls((values - 1).astype(np.uint8), low, low + inside.sum(axis=1))
+
+
+def sorted_suffixes(contexts: Contexts, last: int, limit: int = QUEUE_TUPLES) -> Iterator[tuple[int, _Tee]]:
+    """(start, tuples) for start = last, last - 1, ... 0: the suffixes from `start` of all contexts, in order, with their common prefixes with the one before. The caller must read all of a start's tuples."""
     m, width = contexts.shape
     first = np.zeros(m, Queues.TUPLE)
     first["context"] = np.arange(m)
@@ -220,7 +247,7 @@ def sorted_suffixes(contexts: np.ndarray, last: int, limit: int = QUEUE_TUPLES)
         queues = Queues(limit)
         # Least common prefix since the last tuple of a queue; -1: it has none yet.
         since = np.full(257, -1, np.int64)
-        column = np.ascontiguousarray(contexts[:, start])
+        column = contexts.column(start)
         for whole in source:
             for at in range(0, len(whole), BATCH):
                 _deal(whole[at : at + BATCH], column, queues, since)
@@ -271,16 +298,16 @@ class _Tee:
             yield batch
 
 
-def repeats(contexts: np.ndarray, documents: np.ndarray, length: int, limit: int = QUEUE_TUPLES) -> np.ndarray:
-    """m x (width - length + 1) booleans: whether the `length` bytes from that place of a context also start, at the same
-    place, in a context of a smaller document. Value 0 in a context is the outside of its text and matches nothing."""
+def repeats(contexts: Contexts, documents: np.ndarray, length: int, limit: int = QUEUE_TUPLES) -> np.ndarray:
+    """For each context a number with a bit for each place up to width - length (bit 0: the first): whether the `length` bytes
+    from that place also start, at the same place, in a context of a smaller document. What is outside of a text matches
+    nothing."""
     places = contexts.shape[1] - length + 1
-    out = np.zeros((len(contexts), places), bool)
+    out = np.zeros(len(contexts), np.uint64)
     if not len(contexts):
         return out
-    outside = np.cumsum(np.pad(contexts == 0, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
     for start, queues in sorted_suffixes(contexts, places - 1, limit):
-        whole = outside[:, start + length] == outside[:, start]
+        whole = (contexts.low <= start) & (start + length <= contexts.high)
         open_ = np.zeros(0, np.int64)
 
         def close(number: np.ndarray, rows: np.ndarray, start=start, whole=whole) -> None:
@@ -289,7 +316,7 @@ def repeats(contexts: np.ndarray, documents: np.ndarray, length: int, limit: int
             cuts = np.flatnonzero(np.diff(number)) + 1
             low = np.minimum.reduceat(docs, np.concatenate(([0], cuts)))
             low = np.repeat(low, np.diff(np.concatenate(([0], cuts, [len(rows)]))))
-            out[rows, start] = whole[rows] & (docs > low)
+            out[rows] |= (whole[rows] & (docs > low)).astype(np.uint64) << np.uint64(start)
 
         for part in queues.read():
             rows = part["context"].astype(np.int64)
@@ -329,15 +356,6 @@ def _context_records(chunk: Chunk, number: np.ndarray, position: np.ndarray, has
     return out
 
 
-def _values(records: np.ndarray, side: int, gram: int) -> np.ndarray:
-    """Contexts as values 1 to 256, 0 outside the text."""
-    out = records["bytes"].astype(np.int16) + 1
-    left, right = (records["inside"] >> 8).astype(np.int64), (records["inside"] & 255).astype(np.int64)
-    at = np.arange(out.shape[1])[None, :]
-    out[(at < (side - left)[:, None]) | (at >= (side + gram + right)[:, None])] = 0
-    return out
-
-
 def _collapsed(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(heads, group): one record of the smallest document for each different context, by hash; and each record's place in it."""
     wide = lambda c, n: np.ascontiguousarray(records[c]).view(np.uint8).reshape(len(records), n)
@@ -350,27 +368,86 @@ def _collapsed(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], group
 
 
+def _distinct(chunk: Chunk, number: np.ndarray, position: np.ndarray, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(records, group): the different contexts of these anchors, each with its smallest document, and each anchor's place
+    among them. Anchors are taken a slice at a time, so a long run of equal bytes, all of which are anchors, costs one record."""
+    parts, groups, had = [np.zeros(0, _records(2 * length - gram))], [], 0
+    for at in range(0, len(position), SLICE):
+        cut = slice(at, at + SLICE)
+        records = _context_records(chunk, number[cut], position[cut], hashes[cut], length, gram)
+        heads, group = _collapsed(records)
+        parts.append(records[heads])
+        groups.append(group + had)
+        had += len(heads)
+    records = np.concatenate(parts)
+    heads, group = _collapsed(records)
+    return records[heads], group[np.concatenate(groups)] if groups else np.zeros(0, np.int64)
+
+
 def _every(records: np.ndarray, side: int) -> np.ndarray:
     """For each record, the bits of all starting places of strings that lie in its text."""
     left, right = (records["inside"] >> 8).astype(np.int64), (records["inside"] & 255).astype(np.int64)
-    place = np.arange(side + 1)[None, :]
-    whole = (place >= (side - left)[:, None]) & (place <= right[:, None])
-    return (whole * (np.uint64(1) << np.arange(side + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    out = np.zeros(len(records), np.uint64)
+    for place in range(side + 1):
+        out |= ((place >= side - left) & (place <= right)).astype(np.uint64) << np.uint64(place)
+    return out
 
 
 def _shard_repeats(records: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For each record, a bit for each starting place of a repeated string round its anchor (bit 0: the leftmost)."""
     side = length - gram
     heads, group = _collapsed(records)
-    hashes = records["hash"][heads]
+    first = records[heads]
+    hashes = first["hash"]
     # Contexts that are alone under their hash share strings with copies of themselves only.
     again = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(heads) else np.zeros(0, bool)
     shared = np.flatnonzero(again | np.concatenate((again[1:], [False]))) if len(heads) else np.zeros(0, np.int64)
     own = np.zeros(len(heads), np.uint64)
     if len(shared):
-        found = repeats(_values(records[heads[shared]], side, gram), records["doc"][heads[shared]], length)
-        own[shared] = (found * (np.uint64(1) << np.arange(side + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
-    return np.where(records["doc"] > records["doc"][heads][group], _every(records, side), own[group])
+        left, right = (first["inside"][shared] >> 8).astype(np.int64), (first["inside"][shared] & 255).astype(np.int64)
+        contexts = Contexts(first["bytes"][shared], side - left, side + gram + right)
+        own[shared] = repeats(contexts, first["doc"][shared], length)
+    return np.where(records["doc"] > first["doc"][group], _every(first, side)[group], own[group])
+
+
+class Spool:
+    """Records in the order in which they came: in memory, or in a file once there are more than `limit`."""
+
+    def __init__(self, kind: np.dtype, limit: int):
+        self.kind, self.limit, self.count = kind, limit, 0
+        self.parts: list[np.ndarray] = []
+        self.file = None
+
+    def add(self, records: np.ndarray) -> None:
+        self.count += len(records)
+        self.parts.append(records)
+        if self.count > self.limit:
+            self.file = self.file or tempfile.TemporaryFile()
+            for p in self.parts:
+                self.file.write(p.tobytes())
+            self.parts = []
+
+    def all(self) -> np.ndarray:
+        if not self.file:
+            return np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r", shape=(self.count,))
+
+
+def _judged_ranges(records: np.ndarray, length: int, gram: int, limit: int) -> np.ndarray:
+    """The bits of `_shard_repeats`, judged a range of hashes at a time; in a file if there are more records than `limit`."""
+    if len(records) <= limit:
+        return _shard_repeats(records, length, gram)
+    ranges = -(-2 * len(records) // limit)
+    out = np.memmap(tempfile.TemporaryFile(), "<u8", "w+", shape=(len(records),))
+    part = np.empty(len(records), np.int32)
+    for at in range(0, len(records), limit):
+        # The low bits: the shard's number comes from the others.
+        part[at : at + limit] = (records["hash"][at : at + limit] & np.uint64((1 << 20) - 1)) % np.uint64(ranges)
+    for own in range(ranges):
+        rows = np.flatnonzero(part == own)
+        out[rows] = _shard_repeats(np.asarray(records[rows]), length, gram)
+    return out
 
 
 def _order(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -490,20 +567,23 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
             for i in range(batch.num_rows):
                 chunk, number, position, hashes = chosen(batch, i)
                 for s, at in _by_shard(_shard(hashes, shards), shards):
-                    records = _context_records(chunk, number[at], position[at], hashes[at], length, gram)
-                    records = records[_collapsed(records)[0]]
+                    records, _ = _distinct(chunk, number[at], position[at], hashes[at], length, gram)
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()], pa.int64()), pa.array([s], pa.int32()), pa.array([press.compress(records.tobytes())], pa.binary())], names=["chunk", "shard", "records"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, chunk_of, shard_of, parts = zstandard.ZstdDecompressor(), [], [], []
+        open_, chunk_of, shard_of, sizes = zstandard.ZstdDecompressor(), [], [], []
+        spool = Spool(_records(gram + 2 * side), SHARD_RECORDS)
         for batch in common.lean(batches):
             chunk_of += batch.column("chunk").to_pylist()
             shard_of += batch.column("shard").to_pylist()
-            parts += [np.frombuffer(open_.decompress(x), _records(gram + 2 * side)) for x in batch.column("records").to_pylist()]
-        if not parts:
+            for x in batch.column("records"):
+                part = np.frombuffer(open_.decompress(x.as_py()), spool.kind)
+                spool.add(part)
+                sizes.append(len(part))
+        if not spool.count:
             return
-        masks = _shard_repeats(np.concatenate(parts), length, gram)
-        for c, s, own in zip(chunk_of, shard_of, np.split(masks, np.cumsum([len(p) for p in parts])[:-1]), strict=True):
+        masks = _judged_ranges(spool.all(), length, gram, SHARD_RECORDS)
+        for c, s, own in zip(chunk_of, shard_of, np.split(masks, np.cumsum(sizes)[:-1]), strict=True):
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(own.astype("<u8").tobytes())], pa.binary())], names=["chunk", "shard", "masks"])
 
@@ -524,8 +604,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
                     edge = np.zeros(len(chunk.data) + 1, np.int32)
                     for found in judged_:
                         at = parts[found["shard"]]
-                        records = _context_records(chunk, number[at], position[at], hashes[at], length, gram)
-                        _cover(edge, records, position[at], np.frombuffer(zstandard.ZstdDecompressor().decompress(found["masks"]), "<u8"), side, length)
+                        records, group = _distinct(chunk, number[at], position[at], hashes[at], length, gram)
+                        _cover(edge, records, group, chunk.ids[number[at]], position[at], np.frombuffer(zstandard.ZstdDecompressor().decompress(found["masks"]), "<u8"), side, length)
                     covered = np.cumsum(edge[:-1]) > 0
                 else:
                     chunk = opened(batch, i)
@@ -542,14 +622,15 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, k
 
     last = chunks.join(marks, F.col("chunk") == F.col("m_chunk"), "left").join(judgements, F.col("chunk") == F.col("j_chunk"), "left")
     out = last.select("ids", "nulls", "sizes", "blob", "copies", "marked", "judged").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    # The plan holds the table's files; the name is not needed any more, and dropping it leaves them.
+    spark.sql(f"DROP TABLE {name}")
     return out if keep_bytes else out.drop("kept")
 
 
-def _cover(edge: np.ndarray, records: np.ndarray, position: np.ndarray, masks: np.ndarray, side: int, length: int) -> None:
+def _cover(edge: np.ndarray, records: np.ndarray, group: np.ndarray, docs: np.ndarray, position: np.ndarray, masks: np.ndarray, side: int, length: int) -> None:
     """Count the repeated strings round a shard's anchors in a chunk: +1 in `edge` where one starts, -1 after its end.
     `masks` belongs to the chunk's different contexts; in the later documents that hold one, all of it repeats."""
-    heads, group = _collapsed(records)
-    own = np.where(records["doc"] > records["doc"][heads][group], _every(records, side), masks[group])
+    own = np.where(docs > records["doc"][group], _every(records, side)[group], masks[group])
     for place in range(side + 1):
         hit = position[(own >> np.uint64(place)) & np.uint64(1) == 1] - side + place
         np.add.at(edge, hit, 1)

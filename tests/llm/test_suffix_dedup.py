@@ -79,7 +79,7 @@ def test_disk_backed_queues_give_the_sorted_suffixes(monkeypatch):
     contexts[:20, 9:] = 0
     for limit, batch in ((10, 7), (10, 1 << 16), (1_000_000, 64)):
         monkeypatch.setattr(sd, "BATCH", batch)
-        for start, queues in sd.sorted_suffixes(contexts, 11, limit):
+        for start, queues in sd.sorted_suffixes(sd.Contexts.of(contexts), 11, limit):
             tuples = np.concatenate(list(queues.read()))
             suffixes = [tuple(contexts[c, start:]) for c in tuples["context"]]
             assert suffixes == sorted(suffixes) and sorted(tuples["context"]) == list(range(200))
@@ -87,6 +87,39 @@ def test_disk_backed_queues_give_the_sorted_suffixes(monkeypatch):
                 assert prefix == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
 
 
+def test_long_runs_cost_one_record(spark):
+    """Every place of a run of equal bytes is an anchor."""
+    data = np.full(1_000_000, 32, np.uint8)
+    chunk = sd.Chunk(np.array([7], "<i8").tobytes(), np.array([len(data)], "<i8").tobytes(), sd.zstandard.ZstdCompressor().compress(data.tobytes()))
+    number, position, hashes = chunk.anchored(50, 30)
+    records, group = sd._distinct(chunk, number, position, hashes, 50, 30)
+    assert len(position) == 999_971 == len(group) and len(records) == 41 and set(records["doc"]) == {7}
+    check(spark, [(1, " " * 60_000), (2, "a" + " " * 30_000 + "b"), (3, " " * 80_000)])
+
+
+def test_shards_beyond_memory(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SHARD_RECORDS", 40)
+    check(spark, sample(7))
+    rng = np.random.default_rng(4)
+    records = np.zeros(900, sd._records(70))
+    records["doc"] = rng.integers(0, 300, 900)
+    records["bytes"] = rng.integers(97, 99, (30, 70))[rng.integers(0, 30, 900)]
+    records["bytes"][:, 60:] = rng.integers(97, 98, (900, 10)) + rng.integers(0, 2, (900, 1))
+    records["hash"] = [int.from_bytes(hashlib.sha256(r[20:50].tobytes()).digest()[:6], "big") for r in records["bytes"]]  # of the anchor
+    records["inside"] = 20 * 256 + 20
+    spool = sd.Spool(records.dtype, 100)
+    for part in np.split(records, 9):
+        spool.add(part)
+    assert spool.file and (spool.all() == records).all()
+    assert (sd._judged_ranges(spool.all(), 50, 30, 100) == sd._shard_repeats(records, 50, 30)).all()
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    found = sd.remove_repeats(spark.createDataFrame([(1, "x" * 60, None, 1), (2, "x" * 60, None, 1)], SCHEMA))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_chunks")]
+    assert sorted((r.doc_id, r.n_removed) for r in found.collect()) == [(1, 0), (2, 60)]
+
+
 def test_equal_strings_share_their_anchors():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 100, 3000).astype(np.uint8)
