@@ -80,10 +80,16 @@ def buffered(tokens: Column) -> Column:
     return F.ceil(tokens * 105 / 100).cast("long")
 
 
-def sentence_pieces(text: Column, most: int = 1500) -> Column:
-    """A text of at most `most` characters as it is; else its sentences (with all stops that end them, so nothing is lost)
+#: The stops that end sentences.
+STOPS = "。！？.!?"
+#: Stops of the split that a failed segment is tried again with.
+RETRY_STOPS = STOPS + r"\\"
+
+
+def sentence_pieces(text: Column, most: int = 1500, stops: str = STOPS) -> Column:
+    """A text of at most `most` characters as it is; else its sentences (with all `stops` that end them, so nothing is lost)
     packed greedily into pieces, and pieces that are longer cut every `most` characters."""
-    sentences = F.regexp_extract_all(text, F.lit(r"(?s)[^。！？.!?]++[。！？.!?]*+|[。！？.!?]++"), F.lit(0))
+    sentences = F.regexp_extract_all(text, F.lit(f"(?s)[^{stops}]++[{stops}]*+|[{stops}]++"), F.lit(0))
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

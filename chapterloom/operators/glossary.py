@@ -189,3 +189,42 @@ def pruned(vectors: DataFrame, reference: DataFrame, threshold: float) -> DataFr
     dot: Column = F.aggregate(F.zip_with("embedding", "r", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     best = vectors.join(F.broadcast(reference.select(F.col("embedding").alias("r")))).select("vec_id", dot.alias("cos")).groupBy("vec_id").agg(F.max("cos").alias("best"))
     return best.select("vec_id", F.round(1 - F.col("best"), 4).alias("critic_score"), (1 - F.col("best") < threshold).alias("pruned"))
+
+
+def has_text(column: str) -> Column:
+    return F.coalesce(F.col(column) != "", F.lit(False))
+
+
+def untranslated(candidates: DataFrame, translation: str = "translation") -> DataFrame:
+    """Candidates that wait for a translation, whatever their status: filtered and pruned ones too."""
+    return candidates.where(~has_text(translation))
+
+
+def promotable(candidates: DataFrame) -> DataFrame:
+    """Translated candidates that are not promoted yet."""
+    return candidates.where(has_text("translation") & (F.col("status") != "promoted"))
+
+
+def in_review(candidates: DataFrame) -> DataFrame:
+    return candidates.where(F.col("status") == "translated")
+
+
+def untranslated_idioms(candidates: DataFrame) -> DataFrame:
+    """Idioms that wait for a rendering; unlike terms only those just discovered."""
+    return untranslated(candidates, "rendering").where(F.col("status") == "discovered")
+
+
+def alias_language(text: Column) -> Column:
+    """zh if any letter is Chinese, else en if any is Latin; zh for all else, empty and null too."""
+    return F.when(text.rlike(T.CJK), "zh").when(text.rlike(LATIN), "en").otherwise("zh")
+
+
+def with_updates(rows: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """`columns` set from the update of a row's key (one a key); rows without one stay, updates without a row do nothing."""
+    u = updates.select(*(F.col(k).alias(f"u_{k}") for k in keys), F.lit(True).alias("u_hit"), *(F.col(c).alias(f"u_{c}") for c in columns))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"u_{k}"))
+    joined = rows.join(u, same, "left")
+    return joined.select(*(F.when(F.col("u_hit"), F.col(f"u_{c}")).otherwise(F.col(c)).alias(c) if c in columns else c for c in rows.columns))
+

@@ -117,9 +117,20 @@ def relationship_names(edges: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("relationship_id", F.coalesce("a_name", "source_id").alias("source_name"), F.coalesce("b_name", "target_id").alias("target_name"))
 
 
-def first_by_name(rows: DataFrame) -> DataFrame:
+def first_by_name(rows: DataFrame, keys: tuple[str, ...] = ("norm",)) -> DataFrame:
     """Of equal names across categories, the entity that came first."""
-    return rows.groupBy("norm").agg(F.min_by("entity_id", F.struct("chapter_number", "row_index")).alias("entity_id"))
+    return rows.groupBy(*keys).agg(F.min_by("entity_id", F.struct("chapter_number", "row_index")).alias("entity_id"))
+
+
+def resolved_relationships(relationships: DataFrame, entities: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Relationships between two names of a release as relationships between entities; those with a name that no entity of the
+    release has go."""
+    first = first_by_name(entities, ("release_id", "norm"))
+    one = lambda side: first.select(F.col("release_id").alias(f"{side}_release"), F.col("norm").alias(f"{side}_norm"), F.col("entity_id").alias(f"{side}_id"))
+    out = relationships
+    for side in ("source", "target"):
+        out = out.join(one(side), (F.col("release_id") == F.col(f"{side}_release")) & (F.col(f"{side}_name") == F.col(f"{side}_norm")))
+    return out.select(*keep, "source_id", "target_id")
 
 
 def type_conflicts(rows: DataFrame) -> DataFrame:

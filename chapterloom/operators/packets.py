@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Sections in the order in which a packet over its budget loses them; the rest stay.
-DEGRADE = ("broad_continuity", "previous_three", "aliases", "relationships", "notes")
-
-
-def budgeted(sections: DataFrame, budget: int, fixed: tuple[str, ...] = ("glossary", "summary")) -> DataFrame:
-    """Rows with a text column for each section. Every section costs its buffered tokens; in order, the next one that is
-    not empty goes until the rest fits. An empty section still costs one bracket pair."""
-    cost = {c: T.buffered(T.token_count(F.col(c))) for c in (*fixed, *DEGRADE)}
-    empty = T.buffered(T.token_count(F.lit("[]")))
+#: What a packet over its budget gives up, in this order, and the sections that go with it.
+DEGRADE = {
+    "broad_continuity": ("previous_three",),
+    "fuzzy_candidates": ("aliases",),
+    "rerank_depth": ("relationships", "snippets"),
+    "pass3": ("identity_notes",),
+    "fallback_model": ("warnings",),
+}
+#: The sections that stay.
+FIXED = ("glossary", "story_so_far", "idioms", "entities")
+
+
+def budgeted(sections: DataFrame, budget: int, fixed: tuple[str, ...] = FIXED, degrade: dict[str, tuple[str, ...]] = DEGRADE, counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
+    """Rows with a text column for each section. Every section costs its buffered tokens by `counter`; in order, the next
+    step whose first section is not blank empties its sections until the rest fits. An empty section still costs one bracket
+    pair. A packet that does not fit after all steps has `fits` false."""
+    names = (*fixed, *(c for own in degrade.values() for c in own))
+    cost = {c: T.buffered(counter(F.col(c))) for c in names}
+    empty = T.buffered(counter(F.lit("[]")))
     total: Column = sum(cost.values(), F.lit(0))
-    # A fold over the five sections: as a chain of conditions the expression would double with each.
-    steps = F.array(*(F.struct(F.lit(c).alias("name"), cost[c].alias("cost"), (F.col(c) != "").alias("full")) for c in DEGRADE))
+    # A fold over the steps: as a chain of conditions the expression would double with each.
+    steps = F.array(*(F.struct(F.lit(key).alias("name"), sum((cost[c] - empty for c in own), F.lit(0)).alias("saved"), (~T.is_blank(F.col(own[0]))).alias("full")) for key, own in degrade.items()))
     start = F.struct(total.cast("long").alias("left"), F.array().cast("array<string>").alias("lost"))
 
     def step(acc: Column, s: Column) -> Column:
-        gone = F.struct((acc["left"] - s["cost"] + empty).alias("left"), F.concat(acc["lost"], F.array(s["name"])).alias("lost"))
+        gone = F.struct((acc["left"] - s["saved"]).alias("left"), F.concat(acc["lost"], F.array(s["name"])).alias("lost"))
         return F.when((acc["left"] > budget) & s["full"], gone).otherwise(acc)
 
     folded = sections.select("doc_id", total.cast("long").alias("before"), F.aggregate(steps, start, step).alias("f"))
@@ -30,13 +42,14 @@ def budgeted(sections: DataFrame, budget: int, fixed: tuple[str, ...] = ("glossa
 
 
 def trimmed(bundles: DataFrame, order: tuple[str, ...], most: int) -> DataFrame:
-    """Sections of a bundle emptied in order until its canonical JSON has at most `most` UTF-8 bytes."""
+    """Sections of a bundle emptied in order until its canonical JSON has at most `most` UTF-8 bytes. Every section that was
+    passed is listed, empty ones too."""
     def size(columns: dict[str, Column]) -> Column:
         return F.octet_length(F.to_json(F.struct(*(columns[c].alias(c) for c in sorted(columns)))))
 
     now, names = {c: F.col(c) for c in bundles.columns if c not in ("doc_id", "block_id")}, F.array().cast("array<string>")
     for c in order:
-        over = (size(now) > most) & (now[c] != "")
+        over = size(now) > most
         names = F.when(over, F.concat(names, F.array(F.lit(c)))).otherwise(names)
         now = now | {c: F.when(over, F.lit("")).otherwise(now[c])}
     return bundles.select("doc_id", "block_id", size(now).alias("size_bytes"), F.array_join(names, "|").alias("trimmed"), (size(now) <= most).alias("kept"))
@@ -121,3 +134,33 @@ def final_blocks(pass2: DataFrame, pass3: DataFrame) -> DataFrame:
     third = pass3.where("final_output IS NOT NULL")
     have = third.select("doc_id").distinct()
     return third.select("doc_id", "block_id", F.lit("pass3").alias("pass")).unionByName(pass2.join(have, "doc_id", "left_anti").select("doc_id", "block_id", F.lit("pass2").alias("pass")))
+
+
+def with_bundles(blocks: DataFrame, bundles: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """Every block with the parts of its bundle; a block without one has empty parts."""
+    b = bundles.select(F.col("doc_id").alias("b_doc"), F.col("block_id").alias("b_block"), *(F.col(p).alias(f"b_{p}") for p in parts))
+    joined = blocks.join(b, (F.col("doc_id") == F.col("b_doc")) & (F.col("block_id") == F.col("b_block")), "left")
+    return joined.select("doc_id", "block_id", F.col("b_block").isNotNull().alias("has_bundle"), *(F.coalesce(f"b_{p}", F.lit("")).alias(p) for p in parts))
+
+
+def artifact_category(path: Column) -> Column:
+    """What a path holds, by the first keyword that it contains."""
+    low = F.lower(path)
+    out = F.when(low.contains("/runs/") & low.contains("translation"), "Translation output").when(low.contains("/runs/"), "Run directory")
+    out = out.when(low.contains(DATABASE), "Global database").when(low.rlike("/releases/*$"), "All releases")
+    for keyword, category in CATEGORIES:
+        out = out.when(low.contains(keyword), category)
+    return out.otherwise("Other")
+
+
+#: The database of all releases, and what the folders of a release hold.
+DATABASE = ".db"
+CATEGORIES = (
+    ("extracted", "Extracted text"),
+    ("glossary", "Glossary candidates"),
+    ("summaries", "Draft summaries"),
+    ("idioms", "Idiom policies"),
+    ("graph", "Knowledge graph"),
+    ("packets", "Chapter packets"),
+    (".cache", "LLM cache"),
+)

@@ -73,6 +73,7 @@ def future_knowledge(texts: DataFrame, text: str, chapter: str) -> DataFrame:
     return texts.withColumn("ahead", F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > F.col(chapter))))).where(F.size("ahead") > 0)
 
 
+#: The fields of a structured summary.
 REQUIRED = ("chapter_number", "characters_mentioned", "key_events", "new_terms", "relationships_changed", "setting", "tone", "narrative_progression", "is_story_chapter")
 
 
@@ -86,6 +87,56 @@ def schema_errors(rows: DataFrame, payload: str, required: tuple[str, ...] = REQ
     return rows.select(*(c for c in rows.columns if c != payload), F.array_join(errors, "; ").alias("errors"))
 
 
+def validated_summaries(rows: DataFrame, payload: str, chapter: str) -> DataFrame:
+    """Status and errors of structured summaries (JSON objects): fields that are missing, else fields of the wrong type or
+    without content; then chapters beyond the summary's own that any of its texts mentions, each number once, ascending;
+    before all of them the flag of a chapter that is no story. A payload that is no object lacks every field."""
+    # As variants: a value's type is its JSON type, which paths and casts of strings do not tell.
+    v = F.try_parse_json(F.col(payload))
+    kind = lambda e: F.coalesce(F.schema_of_variant(e), F.lit("NONE"))
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    text = lambda e: F.when(kind(e) == "STRING", F.try_variant_get(e, "$", "string"))
+    lacks = lambda e: F.coalesce(T.is_blank(text(e)), F.lit(True))
+    wrong = lambda condition, message: F.when(condition, F.lit(message))
+    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    missing = F.array_except(F.array(*map(F.lit, sorted(REQUIRED))), keys)
+    number = field("chapter_number")
+    whole = kind(number) == "BIGINT"
+    items = lambda e: F.try_variant_get(e, "$", "array<variant>")
+    strings = lambda e: F.coalesce(F.forall(items(e), lambda x: kind(x) == "STRING"), F.lit(False))
+    changed, story = field("relationships_changed"), field("is_story_chapter")
+
+    def relationship(item: Column, index: Column) -> Column:
+        place = F.concat(F.lit("schema_invalid: relationships_changed["), index.cast("string"))
+        part = lambda name: F.when(lacks(F.try_variant_get(item, f"$.{name}", "variant")), F.concat(place, F.lit(f"].{name} must be a non-empty string")))
+        return F.when(kind(item).startswith("OBJECT"), F.array(part("entity"), part("change"))).otherwise(F.array(F.concat(place, F.lit("] must be an object")), F.lit(None).cast("string")))
+
+    nested = F.when(items(changed).isNull(), F.array(F.lit("schema_invalid: relationships_changed must be a list"))).otherwise(F.flatten(F.transform(items(changed), relationship)))
+    typed = F.concat(
+        F.array(
+            F.when(~whole, "schema_invalid: chapter_number must be an integer").when(F.try_variant_get(number, "$", "bigint") != F.col(chapter), "continuity_conflict: chapter_number does not match extracted chapter number"),
+            *(wrong(~strings(field(c)), f"schema_invalid: {c} must be a list of strings") for c in ("characters_mentioned", "key_events", "new_terms")),
+        ),
+        nested,
+        F.array(*(wrong(lacks(field(c)), f"schema_invalid: {c} must be a non-empty string") for c in ("setting", "tone", "narrative_progression")), wrong(kind(story) != "BOOLEAN", "schema_invalid: is_story_chapter must be a boolean")),
+    )
+    schema = F.when(F.size(missing) > 0, F.array(F.concat(F.lit("schema_invalid: missing fields: "), F.array_join(missing, ", ")))).otherwise(typed)
+
+    def said(e: Column) -> Column:
+        """The texts of a field: itself, its items, the values of items that are objects."""
+        inner = lambda x: F.when(kind(x) == "STRING", F.array(text(x))).otherwise(F.filter(F.transform(F.coalesce(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), F.array().cast("array<variant>")), text), lambda t: t.isNotNull()))
+        return F.when(kind(e) == "STRING", F.array(text(e))).otherwise(F.coalesce(F.flatten(F.transform(items(e), inner)), F.array().cast("array<string>")))
+
+    values = F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<variant>"))
+    texts = F.flatten(F.transform(values, said))
+    found = F.flatten(F.transform(texts, lambda t: F.concat(F.regexp_extract_all(t, F.lit(r"第\s*(\d+)\s*章"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?i)\bchapter\s+(\d+)\b"), F.lit(1)))))
+    ahead = F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("bigint")), lambda x: x > F.col(chapter))))
+    future = F.transform(ahead, lambda x: F.concat(F.lit("future_knowledge: references chapter "), x.cast("string"), F.lit(" while validating chapter "), F.col(chapter).cast("string")))
+    flag = F.array(F.when((kind(story) == "BOOLEAN") & ~F.try_variant_get(story, "$", "boolean"), "non_story_chapter_flagged"))
+    errors = F.array_compact(F.concat(flag, schema, future))
+    return rows.select(chapter, F.when(F.size(errors) > 0, "failed").otherwise("success").alias("status"), F.array_join(errors, "; ").alias("errors"))
+
+
 def chunk_combine(chunks: DataFrame) -> DataFrame:
     """Summaries of a chapter's parts made one: ordered union of terms, first setting, joined text, story if any is."""
     ordered = F.array_sort(F.collect_list(F.struct("part", "terms", "setting", "narrative")))

@@ -47,14 +47,14 @@ def shingles(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
     b = m.select(F.col("release_id").alias("br"), F.col("chapter_number").alias("bc"), (F.col("row_index") - 1).alias("bi"), F.col("norm").alias("second"))
     two = m.join(b, (F.col("release_id") == F.col("br")) & (F.col("chapter_number") == F.col("bc")) & (F.col("row_index") == F.col("bi")))
-    norm = F.concat(F.substring("norm", 1, 3), F.lit(" "), F.substring("second", 1, 3))
+    norm = F.concat("norm", F.lit(" "), "second")
     meaning = F.when(F.col("row_index") % 7 == 0, "").otherwise(F.col("category"))
     return two.groupBy("release_id", norm.alias("norm"), meaning.alias("meaning")).agg(
         F.lower(F.min("release_id")).alias("rendering0"), F.min("chapter_number").alias("first_seen"), F.max("chapter_number").alias("last_seen"), F.count(F.lit(1)).alias("appearances")
     ).select("norm", "meaning", F.concat(F.lit("r-"), F.substring("norm", 1, 2)).alias("rendering"), "first_seen", "last_seen", "appearances", F.concat_ws(":", "release_id", "norm", "meaning").alias("candidate_id"))
 
 
-SHINGLES = f"""{W}, sh0 AS (SELECT a.release_id, left(a.norm, 3) || ' ' || left(b.norm, 3) AS norm, CASE WHEN a.row_index % 7 = 0 THEN '' ELSE a.category END AS meaning, a.chapter_number
+SHINGLES = f"""{W}, sh0 AS (SELECT a.release_id, a.norm || ' ' || b.norm AS norm, CASE WHEN a.row_index % 7 = 0 THEN '' ELSE a.category END AS meaning, a.chapter_number
     FROM mentions a JOIN mentions b ON a.release_id = b.release_id AND a.chapter_number = b.chapter_number AND b.row_index = a.row_index + 1),
   sh AS (SELECT norm, meaning, 'r-' || left(norm, 2) AS rendering, min(chapter_number) AS first_seen, max(chapter_number) AS last_seen, count(*) AS appearances, release_id || ':' || norm || ':' || meaning AS candidate_id FROM sh0 GROUP BY release_id, norm, meaning)"""
 
@@ -121,7 +121,36 @@ def admission(s: SparkSession, d: str) -> DataFrame:
     return ops.admitted(A.mentions(s, d).withColumn("source_term", F.concat(other("source_term"), more)), A.chapters(s, d).withColumn("text", other("text")))
 
 
+def staged(spark, sf_dir):
+    """Candidates at every stage of their curation."""
+    n = F.length("norm")
+    status = F.when(n % 4 == 0, "discovered").when(n % 4 == 1, "filtered").when(n % 4 == 2, "translated").otherwise("promoted")
+    translation = F.when(n % 3 == 0, F.col("norm")).when(n % 3 == 1, "")
+    return candidates(spark, sf_dir).select(*ops.KEY, "first_seen", status.alias("status"), translation.alias("translation"), translation.alias("rendering"))
+
+
+STAGED = f"""{CAND}, st AS (SELECT release_id, norm, category, first_seen, ['discovered', 'filtered', 'translated', 'promoted'][length(norm) % 4 + 1] AS status, CASE length(norm) % 3 WHEN 0 THEN norm WHEN 1 THEN '' END AS translation FROM cand)
+  SELECT release_id, norm, category, first_seen FROM st WHERE"""
+
+
+def stage(plan):
+    return lambda s, d: plan(staged(s, d)).select(*ops.KEY, "first_seen")
+
+
+def marked(spark, sf_dir):
+    """Candidates whose terms are locked are promoted, with their target."""
+    lock = locked(spark, sf_dir).select("norm", "category", F.lit("promoted").alias("status"), F.col("target").alias("translation"))
+    return ops.with_updates(staged(spark, sf_dir).drop("rendering", "first_seen"), lock, ["norm", "category"], ["status", "translation"])
+
+
 PLANS = {
+    "pending_translation": (stage(ops.untranslated), f"{STAGED} coalesce(translation, '') = ''"),
+    "promotable_candidates": (stage(ops.promotable), f"{STAGED} translation <> '' AND status <> 'promoted'"),
+    "review_candidates": (stage(ops.in_review), f"{STAGED} status = 'translated'"),
+    "idiom_pending": (stage(ops.untranslated_idioms), f"{STAGED} coalesce(translation, '') = '' AND status = 'discovered'"),
+    "alias_language": (lambda s, d: A.mentions(s, d).select("release_id", "chapter_number", "row_index", ops.alias_language(F.when(F.col("row_index") % 3 == 0, F.translate("norm", _ROMAN, _SCRIPT)).when(F.col("row_index") % 3 == 1, F.col("norm")).otherwise(F.lit("…"))).alias("language")), f"{W} SELECT release_id, chapter_number, row_index, CASE WHEN row_index % 3 = 0 AND regexp_matches(norm, '[a-z]') THEN 'zh' WHEN row_index % 3 = 1 AND regexp_matches(norm, '[a-z]') THEN 'en' ELSE 'zh' END AS language FROM mentions"),
+    "status_updates": (marked, f"""{TARGETED} SELECT c.release_id, c.norm, c.category, CASE WHEN l.target IS NOT NULL THEN 'promoted' ELSE ['discovered', 'filtered', 'translated', 'promoted'][length(c.norm) % 4 + 1] END AS status,
+      CASE WHEN l.target IS NOT NULL THEN l.target WHEN length(c.norm) % 3 = 0 THEN c.norm WHEN length(c.norm) % 3 = 1 THEN '' END AS translation FROM cand c LEFT JOIN locked l ON l.norm = c.norm AND l.category = c.category"""),
     "candidate_merge": (candidates, f"{CAND} SELECT * FROM cand"),
     "candidate_filter": (lambda s, d: ops.filtered_candidates(candidates(s, d), dates=(*T.DATES, "[A-Za-z]{5}"), stoplist=(*T.STOPLIST, "Ththe", "Ereine", "Eauleau", "Osque")).select("release_id", "norm", "category", "status", "reason"),
       f"""{CAND}, r AS (SELECT *, regexp_full_match(source_term, '[A-Za-z]{{5}}') AS a, source_term IN ('Ththe', 'Ereine', 'Eauleau', 'Osque') AS b FROM cand)

@@ -67,6 +67,15 @@ def named(spark, sf_dir):
     return A.mentions(spark, sf_dir).select("norm", "category", "chapter_number", "row_index", "release_id", F.concat_ws(":", "release_id", "norm").alias("entity_id"))
 
 
+def neighbours(spark, sf_dir):
+    """Neighbouring mentions as relationships between their entities, in every release."""
+    m = A.mentions(spark, sf_dir)
+    place = ["release_id", "chapter_number", "row_index"]
+    after = m.select("release_id", "chapter_number", (F.col("row_index") - 1).alias("row_index"), F.col("norm").alias("target_name"))
+    pairs = m.select(*place, F.col("norm").alias("source_name")).join(after, place)
+    return ops.resolved_relationships(pairs, m.withColumn("entity_id", F.concat_ws(":", "release_id", "category", "norm")), tuple(place))
+
+
 def context(spark, sf_dir):
     """As of every chapter: how many relationships are visible, and of how many entities."""
     v = ops.chapter_view(rel(spark, sf_dir), ent(spark, sf_dir), months(spark, sf_dir))
@@ -87,7 +96,9 @@ PLANS = {
     "local_relationships_both": (lambda s, d: ops.local_both(rel(s, d), some(s, d)).select("relationship_id", "source_id", "target_id"), f"{REL} SELECT relationship_id, source_id, target_id FROM rel WHERE source_id IN (SELECT entity_id FROM ent WHERE {IDS}) AND target_id IN (SELECT entity_id FROM ent WHERE {IDS})"),
     "local_entities": (lambda s, d: some(s, d).select("entity_id").unionByName(obs(s, d).where("chapter_number = 24").select(F.col("source_id").alias("entity_id"))).unionByName(obs(s, d).where("lore_text LIKE '%7'").select(F.col("target_id").alias("entity_id"))).distinct(), f"{REL} SELECT entity_id FROM ent WHERE {IDS} UNION SELECT source_id FROM obs WHERE chapter_number = 24 UNION SELECT target_id FROM obs WHERE lore_text LIKE '%7'"),
     "relationship_names": (lambda s, d: ops.relationship_names(rel(s, d), names(s, d)), f"{REL}, nm AS (SELECT entity_id, upper(entity_id) AS name FROM ent WHERE mentions % 2 = 0) SELECT relationship_id, coalesce(a.name, source_id) AS source_name, coalesce(b.name, target_id) AS target_name FROM rel LEFT JOIN nm a ON a.entity_id = source_id LEFT JOIN nm b ON b.entity_id = target_id"),
-    "relationship_resolution": (lambda s, d: ops.first_by_name(named(s, d).where("release_id = 'src3'")), f"WITH {A.MENTIONS} SELECT norm, arg_min(release_id || ':' || norm, CAST(chapter_number AS BIGINT) * 1000000 + row_index) AS entity_id FROM mentions WHERE release_id = 'src3' GROUP BY 1"),
+    "relationship_resolution": (neighbours, f"""WITH {A.MENTIONS}, f AS (SELECT release_id, norm, arg_min(release_id || ':' || category || ':' || norm, CAST(chapter_number AS BIGINT) * 1000000 + row_index) AS entity_id FROM mentions GROUP BY 1, 2)
+      SELECT a.release_id, a.chapter_number, a.row_index, s.entity_id AS source_id, t.entity_id AS target_id FROM mentions a JOIN mentions b ON b.release_id = a.release_id AND b.chapter_number = a.chapter_number AND b.row_index = a.row_index + 1
+      JOIN f s ON s.release_id = a.release_id AND s.norm = a.norm JOIN f t ON t.release_id = b.release_id AND t.norm = b.norm"""),
     "type_conflicts": (lambda s, d: ops.type_conflicts(named(s, d)), f"""WITH {A.MENTIONS}, f AS (SELECT norm, category AS first_category FROM mentions QUALIFY row_number() OVER (PARTITION BY norm ORDER BY chapter_number, row_index, release_id) = 1)
       SELECT norm, category, first_category, count(*) AS dropped FROM mentions JOIN f USING (norm) WHERE category <> first_category GROUP BY 1, 2, 3"""),
     "alias_latest": (lambda s, d: ops.alias_latest(A.mentions(s, d).select("release_id", F.col("norm").alias("alias_text"), "chapter_number")), f"WITH {A.MENTIONS} SELECT release_id, norm AS alias_text, max(chapter_number) AS first_seen, max(chapter_number) AS last_seen FROM mentions GROUP BY 1, 2"),

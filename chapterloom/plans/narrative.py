@@ -53,13 +53,24 @@ def paths(spark, sf_dir):
 def numbered(spark, sf_dir):
     c = A.chapters(spark, sf_dir)
     n = F.col("chapter_number")
-    said = F.concat(F.lit("As in Chapter "), (n + F.col("doc_id") % 5 - 2).cast("string"), F.lit(" and 第 "), (n + F.col("doc_id") % 3 - 1).cast("string"), F.lit(" 章: "), F.substring("text", 1, 50))
+    said = F.concat(F.lit("As in Chapter "), (n + F.col("doc_id") % 5 - 2).cast("string"), F.lit(" and 第 "), (n + F.col("doc_id") % 3 - 1).cast("string"), F.lit(" 章: "), "text")
     return c.select("doc_id", "chapter_number", said.alias("said"))
 
 
 _MISSING = "; ".join(f"missing: {c}" for c in ops.REQUIRED)
 _PART = "; ".join(f"missing: {c}" for c in ops.REQUIRED if c not in ("setting", "tone"))
 
+def checked(spark, sf_dir):
+    """Structured summaries of the documents with the faults that the checks look for."""
+    d = A.table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    item = F.struct(F.col("lang").alias("entity"), F.when(n % 5 == 0, " ").otherwise(F.col("text")).alias("change"))
+    full = F.to_json(F.struct(F.when(n % 3 == 0, n + 1).otherwise(n).alias("chapter_number"), F.array("lang").alias("characters_mentioned"), F.array(F.concat(F.lit("see Chapter "), (n + n % 4 - 1).cast("string"))).alias("key_events"), F.array("lang").alias("new_terms"), F.array(item).alias("relationships_changed"), F.when(n % 7 == 0, " ").otherwise(F.col("lang")).alias("setting"), F.col("lang").alias("tone"), F.col("lang").alias("narrative_progression"), (n % 11 != 0).alias("is_story_chapter")))
+    return d.select("doc_id", F.when(n % 13 == 0, '{"tone":"x"}').otherwise(full).alias("payload"))
+
+
+_NOT_TONE = ", ".join(sorted(c for c in ops.REQUIRED if c != "tone"))
+
 PLANS = {
     "chapter_text": (lambda s, d: ops.chapter_text(A.blocks(s, d)), f"""{B}, t AS (SELECT release_id, chapter_number, doc_id, string_agg(trim(regexp_replace(block_text, '⟦/?[A-Z]+_[0-9]+⟧', '', 'g'), ' '), chr(10) ORDER BY block_order) AS text FROM blocks GROUP BY 1, 2, 3)
       SELECT release_id, chapter_number, doc_id, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_hash FROM t"""),
@@ -72,10 +83,15 @@ PLANS = {
     "story_chapters": (lambda s, d: ops.story_chapters(A.chapters(s, d), flags(s, d).where("NOT is_story")), f"{C} SELECT release_id, chapter_number, doc_id FROM chapters WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "story_guardrail": (lambda s, d: ops.story_guardrail(A.chapters(s, d), flags(s, d)), f"{C} SELECT c.doc_id, coalesce(quality = 1, true) OR length(text) > 500 AS is_story FROM chapters c LEFT JOIN labels l ON l.doc_id = c.doc_id"),
     "chapter_exclusion": (lambda s, d: ops.chapter_exclusion(paths(s, d), "path", (r"/\d*1\b", "about", r"3\.html")), r"SELECT page_id AS doc_id, url AS path FROM pages WHERE NOT regexp_matches(url, '(?:/\d*1\b)|(?:about)|(?:3\.html)')"),
-    "future_knowledge": (lambda s, d: ops.future_knowledge(numbered(s, d), "said", "chapter_number").select("doc_id", "chapter_number", F.array_join(F.transform("ahead", lambda x: x.cast("string")), "|").alias("ahead")), rf"""{C}, n AS (SELECT doc_id, chapter_number, 'As in Chapter ' || (chapter_number + doc_id % 5 - 2) || ' and 第 ' || (chapter_number + doc_id % 3 - 1) || ' 章: ' || left(text, 50) AS said FROM chapters),
-      x AS (SELECT doc_id, chapter_number, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(said, '第\s*(\d+)\s*章', 1), regexp_extract_all(lower(said), '\bchapter\s+(\d+)\b', 1)), lambda v: CAST(v AS INTEGER)), lambda v: v > chapter_number))) AS ahead FROM n)
+    "future_knowledge": (lambda s, d: ops.future_knowledge(numbered(s, d), "said", "chapter_number").select("doc_id", "chapter_number", F.array_join(F.transform("ahead", lambda x: x.cast("string")), "|").alias("ahead")), rf"""{C}, n AS (SELECT doc_id, chapter_number, 'As in Chapter ' || (chapter_number + doc_id % 5 - 2) || ' and 第 ' || (chapter_number + doc_id % 3 - 1) || ' 章: ' || text AS said FROM chapters),
+      x AS (SELECT doc_id, chapter_number, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(said, '第\s*(\d+)\s*章', 1), regexp_extract_all(lower(said), '\bchapter\s+(\d+)\b', 1)), lambda v: TRY_CAST(v AS INTEGER)), lambda v: v > chapter_number))) AS ahead FROM n)
       SELECT doc_id, chapter_number, array_to_string(ahead, '|') AS ahead FROM x WHERE len(ahead) > 0"""),
     "summary_schema_errors": (lambda s, d: ops.schema_errors(structured(s, d), "payload"), f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{_PART}' WHEN 2 THEN '{_MISSING}' WHEN 1 THEN CASE WHEN lang = 'en' THEN 'key_events: not a list' ELSE '' END ELSE '' END AS errors FROM documents"""),
+    "summary_validation": (lambda s, d: ops.validated_summaries(checked(s, d), "payload", "doc_id"), rf"""WITH x AS (SELECT doc_id, list_distinct([TRY_CAST(v AS BIGINT) FOR v IN list_concat(CASE WHEN doc_id % 5 <> 0 THEN regexp_extract_all(text, '第\s*(\d+)\s*章', 1) ELSE [] END, regexp_extract_all('chapter ' || (doc_id + doc_id % 4 - 1), '\bchapter\s+(\d+)\b', 1), CASE WHEN doc_id % 5 <> 0 THEN regexp_extract_all(lower(text), '\bchapter\s+(\d+)\b', 1) ELSE [] END)]) AS said FROM documents),
+      e AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN ['schema_invalid: missing fields: {_NOT_TONE}'] ELSE list_filter(list_concat([CASE WHEN doc_id % 11 = 0 THEN 'non_story_chapter_flagged' END, CASE WHEN doc_id % 3 = 0 THEN 'continuity_conflict: chapter_number does not match extracted chapter number' END,
+        CASE WHEN doc_id % 5 = 0 THEN 'schema_invalid: relationships_changed[0].change must be a non-empty string' END, CASE WHEN doc_id % 7 = 0 THEN 'schema_invalid: setting must be a non-empty string' END],
+        [CASE WHEN v > doc_id THEN 'future_knowledge: references chapter ' || v || ' while validating chapter ' || doc_id END FOR v IN list_sort(said)]), lambda z: z IS NOT NULL) END AS errors FROM x)
+      SELECT doc_id, CASE WHEN len(errors) > 0 THEN 'failed' ELSE 'success' END AS status, array_to_string(errors, '; ') AS errors FROM e"""),
     "chunk_combine": (lambda s, d: ops.chunk_combine(chunks(s, d)), rf"""{B}, ch AS (SELECT doc_id, block_order, list_filter(regexp_split_to_array(block_text, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')[1:2] AS terms, CASE WHEN block_order % 2 = 0 THEN lang END AS setting, left(block_text, 10) AS narrative, length(block_text) > 200 AS is_story FROM blocks),
       w AS (SELECT doc_id, block_order, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM ch), f AS (SELECT doc_id, term, min(block_order * 10 + i) AS place FROM w GROUP BY 1, 2), t AS (SELECT doc_id, string_agg(term, '|' ORDER BY place) AS terms FROM f GROUP BY 1),
       g AS (SELECT doc_id, coalesce(min(setting), '') AS setting, string_agg(narrative, ' ' ORDER BY block_order) AS narrative, bool_or(is_story) AS is_story FROM ch GROUP BY 1)
@@ -86,4 +102,5 @@ PLANS = {
     "chapter_range": (lambda s, d: A.chapters(s, d).groupBy("release_id").agg(F.greatest(F.lit(1), F.min("chapter_number")).alias("low"), F.max("chapter_number").alias("high")), f"{C} SELECT release_id, greatest(1, min(chapter_number)) AS low, max(chapter_number) AS high FROM chapters GROUP BY 1"),
     "chapter_scan": (lambda s, d: A.chapters(s, d).where("chapter_number BETWEEN 3 AND 12").select("release_id", "chapter_number", "doc_id", "chapter_hash"), f"{C} SELECT release_id, chapter_number, doc_id, chapter_hash FROM chapters WHERE chapter_number BETWEEN 3 AND 12"),
     "sentence_segments": (lambda s, d: A.table(s, d, "documents").select("doc_id", F.posexplode(T.sentence_pieces(F.col("text"), 1500)).alias("pos", "piece")).select("doc_id", "pos", "piece"), None),
+    "retry_segments": (lambda s, d: A.table(s, d, "documents").select("doc_id", F.posexplode(T.sentence_pieces(F.replace("text", F.lit(","), F.lit("\\")), 750, T.RETRY_STOPS)).alias("pos", "piece")), None),
 }

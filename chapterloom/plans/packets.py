@@ -24,39 +24,62 @@ def docs(spark, sf_dir):
     return A.table(spark, sf_dir, "documents")
 
 
+def shares(text, parts):
+    """A text divided among `parts` in order, evenly by characters: nothing is left out."""
+    n = F.length(text)
+    edge = lambda i: F.floor(n * i / len(parts)).cast("int")
+    return {p: F.substring(text, edge(i) + 1, edge(i + 1) - edge(i)) for i, p in enumerate(parts)}
+
+
+def _shares(text, parts):
+    edge = lambda i: f"length({text}) * {i} // {len(parts)}"
+    return {p: f"substring({text}, {edge(i)} + 1, {edge(i + 1)} - {edge(i)})" for i, p in enumerate(parts)}
+
+
+SECTIONS = (*ops.FIXED, *(c for own in ops.DEGRADE.values() for c in own))
+#: Sections that some documents lack: they are empty where doc_id is divisible by the number.
+LACKING = {"previous_three": 3, "aliases": 2, "warnings": 5}
+
+
 def sections(spark, sf_dir):
-    """Packet sections cut from a document's text."""
-    cut = lambda low, n: F.substring("text", low, n)
-    return docs(spark, sf_dir).select("doc_id", cut(1, 300).alias("glossary"), cut(301, 200).alias("summary"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(cut(501, 900)).alias("broad_continuity"), cut(1401, 600).alias("previous_three"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(cut(2001, 500)).alias("aliases"), cut(2501, 2500).alias("relationships"), cut(5001, 800).alias("notes"))
+    """A document's whole text divided among the sections of its packet."""
+    cut = shares(F.col("text"), SECTIONS)
+    return docs(spark, sf_dir).select("doc_id", *(F.when(F.col("doc_id") % LACKING[c] == 0, "").otherwise(e).alias(c) if c in LACKING else e.alias(c) for c, e in cut.items()))
 
 
 def _budget_sql():
-    names = ("glossary", "summary", *ops.DEGRADE)
-    base = "SELECT doc_id, left(text, 300) AS glossary, text[301:500] AS summary, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text[501:1400] END AS broad_continuity, text[1401:2000] AS previous_three, CASE WHEN doc_id % 2 = 0 THEN '' ELSE text[2001:2500] END AS aliases, text[2501:5000] AS relationships, text[5001:5800] AS notes FROM documents"
-    sql = f"WITH s AS ({base}), t0 AS (SELECT *, {' + '.join(COST.format(n) for n in names)} AS before, '' AS lost0 FROM s)"
+    cut = _shares("text", SECTIONS)
+    columns = ", ".join(f"CASE WHEN doc_id % {LACKING[c]} = 0 THEN '' ELSE {e} END AS {c}" if c in LACKING else f"{e} AS {c}" for c, e in cut.items())
+    sql = f"WITH s AS (SELECT doc_id, {columns} FROM documents), t0 AS (SELECT *, {' + '.join(COST.format(n) for n in SECTIONS)} AS before, '' AS lost0 FROM s)"
     left, lost, prev = "before", "lost0", "t0"
-    for i, c in enumerate(ops.DEGRADE):
-        go = f"{left} > {BUDGET} AND {c} <> ''"
-        sql += f", t{i + 1} AS (SELECT *, CASE WHEN {go} THEN {left} - {COST.format(c)} + 2 ELSE {left} END AS left{i}, CASE WHEN {go} THEN {lost} || '|{c}' ELSE {lost} END AS lost{i + 1} FROM {prev})"
+    for i, (key, own) in enumerate(ops.DEGRADE.items()):
+        go = f"{left} > {BUDGET} AND regexp_replace({own[0]}, '[\\s\\p{{Z}}]+', '', 'g') <> ''"
+        rest = f"{left} - " + " - ".join(f"({COST.format(c)} - 2)" for c in own)
+        sql += f", t{i + 1} AS (SELECT *, CASE WHEN {go} THEN {rest} ELSE {left} END AS left{i}, CASE WHEN {go} THEN {lost} || '|{key}' ELSE {lost} END AS lost{i + 1} FROM {prev})"
         left, lost, prev = f"left{i}", f"lost{i + 1}", f"t{i + 1}"
     return f"{sql} SELECT doc_id, before, {left} AS after, ltrim({lost}, '|') AS degraded, {left} <= {BUDGET} AS fits FROM {prev}"
 
 
+PARTS = ("glossary", "relationships", "aliases", "continuity", "evidence")
+
+
 def bundles(spark, sf_dir):
-    b = A.blocks(spark, sf_dir)
-    cut = lambda low, n: F.regexp_replace(F.substring("block_text", low, n), r'["\\\x00-\x1f]', "")
-    return b.select("doc_id", "block_id", cut(1, 120).alias("glossary"), cut(121, 100).alias("relationships"), cut(221, 90).alias("aliases"), cut(311, 80).alias("continuity"), cut(391, 70).alias("evidence"))
+    """A block's whole text divided among the parts of its bundle."""
+    cut = shares(F.regexp_replace("block_text", r'["\\\x00-\x1f]', ""), PARTS)
+    return A.blocks(spark, sf_dir).select("doc_id", "block_id", *(e.alias(c) for c, e in cut.items()))
 
 
 TRIM = ("relationships", "aliases", "continuity", "evidence")
 
 
+BUNDLED = f"""{B}, plain AS (SELECT doc_id, block_id, block_order, regexp_replace(block_text, '["\\\\\\x00-\\x1f]', '', 'g') AS plain FROM blocks), bundles AS (SELECT doc_id, block_id, block_order, {", ".join(f"{e} AS {c}" for c, e in _shares("plain", PARTS).items())} FROM plain)"""
+
+
 def _trim_sql():
-    cut = lambda low, high, n: f"regexp_replace(block_text[{low}:{high}], '[\"\\\\\\x00-\\x1f]', '', 'g') AS {n}"
-    sql = f"{B}, s0 AS (SELECT doc_id, block_id, {cut(1, 120, 'glossary')}, {cut(121, 220, 'relationships')}, {cut(221, 310, 'aliases')}, {cut(311, 390, 'continuity')}, {cut(391, 460, 'evidence')}, '' AS names FROM blocks)"
+    sql = f"{BUNDLED}, s0 AS (SELECT *, '' AS names FROM bundles)"
     size = "strlen('{\"aliases\":\"' || aliases || '\",\"continuity\":\"' || continuity || '\",\"evidence\":\"' || evidence || '\",\"glossary\":\"' || glossary || '\",\"relationships\":\"' || relationships || '\"}')"
     for i, c in enumerate(TRIM):
-        over = f"({size} > 256 AND {c} <> '')"
+        over = f"({size} > 256)"
         sql += f", s{i + 1} AS (SELECT * REPLACE (CASE WHEN {over} THEN '' ELSE {c} END AS {c}, CASE WHEN {over} THEN names || '|{c}' ELSE names END AS names) FROM s{i})"
     return f"{sql} SELECT doc_id, block_id, CAST({size} AS INTEGER) AS size_bytes, ltrim(names, '|') AS trimmed, {size} <= 256 AS kept FROM s{len(TRIM)}"
 
@@ -155,13 +178,17 @@ def verdicts(spark, sf_dir):
 
 
 def golden(spark, sf_dir):
-    """Documents that hold the beginning of a benchmark text, with that text. Both sides are cut to words of 12 letters or
-    more and joined on the first such word of the benchmark text, then verified."""
-    bench = A.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("start"), F.col("text").alias("expected"))
-    key = lambda c: F.regexp_extract_all(c, F.lit(r"[^ ]+"), F.lit(0))
-    b = bench.withColumn("key", F.element_at(key(F.col("start")), 2))
-    d = docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(key(F.col("text")))).alias("key"))
-    return d.join(b, "key").where(F.col("text").contains(F.col("start"))).select("doc_id", "item_id", "expected", "text")
+    """Documents that hold a whole benchmark text, with that text. Both sides meet at the longest word of the benchmark text
+    (as a rule its rarest), by ids alone; then the texts are compared."""
+    split = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[^ ]+"), F.lit(0)))
+    # Words at either end may go on in the document.
+    inner = F.expr("slice(regexp_extract_all(text, '[^ ]+', 0), 2, greatest(size(regexp_extract_all(text, '[^ ]+', 0)) - 2, 0))")
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(-F.length(w), w.alias("w")))), 1)["w"]
+    bench = A.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected"), longest.alias("key"))
+    texts = docs(spark, sf_dir).select("doc_id", "text")
+    places = texts.select("doc_id", F.explode(split(F.col("text"))).alias("key")).join(bench.select("item_id", "key"), "key").select("doc_id", "item_id")
+    found = places.join(texts, "doc_id").join(bench.select("item_id", "expected"), "item_id")
+    return found.where(F.col("text").contains(F.col("expected"))).select("doc_id", "item_id", "expected", "text")
 
 
 def benchmark_scores(spark, sf_dir):
@@ -188,10 +215,23 @@ OVERVIEW = f"""WITH {A.CHAPTERS}, {A.GLOSSARY_CTE}, {A.IDIOMS_CTE}, t AS (SELECT
 _WORDS = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> '')"
 _SENTENCES = "list_filter(regexp_split_to_array(text, '[.!?]'), lambda s: regexp_replace(s, '[\\s\\p{Z}]+', '', 'g') <> '')"
 
+#: Endings that make URLs paths of artifacts of every kind.
+ARTIFACTS = ("/runs/r1/translation/out.json", "/runs/r1", "/library.db", "/releases", "/extracted", "/Glossary/c.json", "/summaries", "/idioms", "/graph", "/packets", "/.cache/x", "")
+ENDS = "CASE page_id % " + str(len(ARTIFACTS)) + " " + " ".join(f"WHEN {i} THEN '{e.lower()}'" for i, e in enumerate(ARTIFACTS)) + " END"
+
+
+def artifacts(spark, sf_dir):
+    end = F.element_at(F.array(*map(F.lit, ARTIFACTS)), (F.col("page_id") % len(ARTIFACTS) + 1).cast("int"))
+    return A.table(spark, sf_dir, "pages").select("page_id", ops.artifact_category(F.concat("url", end)).alias("category"))
+
+
 PLANS = {
     "chapter_packet_overview": (packet_overview, OVERVIEW),
     "packet_budget": (lambda s, d: ops.budgeted(sections(s, d), BUDGET), _budget_sql()),
     "bundle_trim": (lambda s, d: ops.trimmed(bundles(s, d), TRIM, 256), _trim_sql()),
+    "block_bundles": (lambda s, d: ops.with_bundles(A.blocks(s, d), bundles(s, d).where("glossary LIKE '%a%'"), PARTS), f"{BUNDLED} SELECT doc_id, block_id, glossary LIKE '%a%' AS has_bundle, {', '.join(f"CASE WHEN glossary LIKE '%a%' THEN {c} ELSE '' END AS {c}" for c in PARTS)} FROM bundles"),
+    "artifact_categories": (artifacts, f"""SELECT page_id, CASE WHEN p LIKE '%/runs/%' AND p LIKE '%translation%' THEN 'Translation output' WHEN p LIKE '%/runs/%' THEN 'Run directory' WHEN p LIKE '%.db%' THEN 'Global database' WHEN p LIKE '%/releases' THEN 'All releases'
+      {" ".join(f"WHEN contains(p, '{k}') THEN '{v}'" for k, v in ops.CATEGORIES)} ELSE 'Other' END AS category FROM (SELECT page_id, lower(url) || {ENDS} AS p FROM pages)"""),
     "bundle_prompt": (lambda s, d: ops.prompts(prompt_rows(s, d)), f"{B}, {A.GLOSSARY_CTE} SELECT doc_id, block_id, string_agg(source_term || ' → ' || target_term || ' (' || category || ')', chr(10) ORDER BY source_term || ' → ' || target_term || ' (' || category || ')') AS prompt FROM blocks JOIN glossary ON contains(block_text, source_term) GROUP BY 1, 2"),
     "budget_check": (lambda s, d: docs(s, d).select("doc_id", T.token_count(F.col("text")).alias("tokens"), (T.token_count(F.col("text")) <= 500).alias("within")), f"SELECT doc_id, CAST({TOKENS.format('text')} AS BIGINT) AS tokens, {TOKENS.format('text')} <= 500 AS within FROM documents"),
     "prompt_chunks": (lambda s, d: ops.chunked(docs(s, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")), 1000), None),
@@ -224,7 +264,7 @@ PLANS = {
     "readability": (lambda s, d: docs(s, d).select("doc_id", q.readability(F.col("text")).alias("readability")), f"""WITH w AS (SELECT doc_id, len({_WORDS}) AS n, list_sum(list_transform({_WORDS}, lambda x: length(x))) AS chars, len({_SENTENCES}) AS m FROM documents)
       SELECT doc_id, CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE round((greatest(0.0, 1 - abs(CAST(chars AS DOUBLE) / n - 5) / 5) + greatest(0.0, 1 - abs(CAST(n AS DOUBLE) / m - 17) / 17)) / 2, 4) END AS readability FROM w"""),
     "terminology": (lambda s, d: docs(s, d).select("doc_id", q.terminology(F.col("text"), ("the", "en", "zu")).alias("terminology")), "SELECT doc_id, CASE WHEN text = '' THEN 0.0 ELSE round((CAST(contains(text, 'the') AS INTEGER) + CAST(contains(text, 'en') AS INTEGER) + CAST(contains(text, 'zu') AS INTEGER)) / 3, 4) END AS terminology FROM documents"),
-    "golden_benchmark": (benchmark_scores, "SELECT item_id, count(*) AS n, round(avg(CASE WHEN d.text = '' THEN 0.0 ELSE round((CAST(contains(d.text, 'the') AS INTEGER) + CAST(contains(d.text, 'en') AS INTEGER) + CAST(contains(d.text, 'zu') AS INTEGER)) / 3, 4) END), 4) AS terminology, round(avg(length(d.text)), 4) AS chars FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)) GROUP BY 1"),
+    "golden_benchmark": (benchmark_scores, "SELECT item_id, count(*) AS n, round(avg(CASE WHEN d.text = '' THEN 0.0 ELSE round((CAST(contains(d.text, 'the') AS INTEGER) + CAST(contains(d.text, 'en') AS INTEGER) + CAST(contains(d.text, 'zu') AS INTEGER)) / 3, 4) END), 4) AS terminology, round(avg(length(d.text)), 4) AS chars FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1"),
     "fidelity": (lambda s, d: talk(s, d).select("conv_id", "turn", udfs.fidelity("source_text", "pass2").alias("fidelity")), None),
     "orphan_placeholders": (lambda s, d: talk(s, d).select("conv_id", "turn", F.array_join(q.orphan_closings(F.concat("pass2", F.when(F.col("conv_id") % 2 == 0, F.lit("⟦/U_3⟧")).otherwise(F.lit("")))), "|").alias("orphans")), f"{TALK} SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'U_3' ELSE '' END AS orphans FROM talk"),
 }

@@ -1,6 +1,8 @@
 """Small scenarios with outcomes worked out by hand, and folds against plain loops."""
 
+import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -136,11 +138,14 @@ def test_risk_classes(spark):
 
 
 def test_budget_drops_sections_in_order(spark):
-    row = [(1, "g", "s", "x" * 2000, "y" * 400, "", "z" * 400, "")]
-    s = spark.createDataFrame(row, "doc_id long, glossary string, summary string, broad_continuity string, previous_three string, aliases string, relationships string, notes string")
+    columns = (*packets.FIXED, *(c for own in packets.DEGRADE.values() for c in own))
+    full = dict.fromkeys(columns, "") | {"glossary": "g", "previous_three": "x" * 2000, "aliases": " ", "relationships": "y" * 400, "snippets": "z" * 400}
+    s = spark.createDataFrame([(1, *(full[c] for c in columns))], "doc_id long, " + ", ".join(f"{c} string" for c in columns))
     r = packets.budgeted(s, 120).first()
     assert r.degraded == "broad_continuity" and r.fits and r.before > 120 >= r.after
-    assert packets.budgeted(s, 3).first().degraded == "broad_continuity|previous_three|relationships" and not packets.budgeted(s, 3).first().fits
+    r = packets.budgeted(s, 3).first()
+    assert r.degraded == "broad_continuity|rerank_depth" and not r.fits
+    assert packets.budgeted(s, 3000, counter=F.length).first().before == -(-2000 * 105 // 100) + 2 * 420 + 2 + 2
 
 
 def test_chunks_keep_order_and_text(spark):
@@ -256,3 +261,52 @@ def test_terms_in_another_script_are_admitted(spark):
 def test_echo_with_an_end_of_quoting(spark):
     rows = spark.createDataFrame([(r"a\E(b = out", r"a\E(b"), ("plain", r"\E")], "answer string, source string")
     assert [r[0].strip(" =") for r in rows.select(answers.without_echo(F.col("answer"), F.col("source"))).collect()] == ["out", "plain"]
+
+
+def test_retry_pieces_lose_nothing(spark):
+    """Against a loop over the sentences; a backslash is a stop of the retry split only."""
+    texts = ["a\\b. c" * 40, "..." * 30, "one\\two\\three " * 9, "short", "", "x" * 95]
+
+    def loop(t, stops, most=40):
+        if len(t) <= most:
+            return [t]
+        pieces, now = [], ""
+        for s in re.findall(f"[^{stops}]+[{stops}]*|[{stops}]+", t):
+            if len(now) + len(s) <= most:
+                now += s
+            elif now:
+                pieces, now = [*pieces, now], s
+            else:
+                pieces, now = [*pieces, s[:most]], s[most:]
+        return [p[i : i + most] for p in [*pieces, *([now] if now else [])] for i in range(0, len(p), most)]
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for stops in (text.STOPS, text.RETRY_STOPS):
+        got = [r.p for r in frame.select(text.sentence_pieces(F.col("t"), 40, stops).alias("p")).collect()]
+        assert got == [loop(t, stops) for t in texts] and ["".join(p) for p in got] == texts
+
+
+def test_updates_by_key(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (1, "x", "b"), (2, "x", "c")], "id int, k string, status string")
+    new = spark.createDataFrame([(1, None, "A", 9), (2, "x", None, 9), (3, "x", "none", 9)], "id int, k string, status string, id2 int")
+    assert sorted(map(str, (tuple(r) for r in glossary.with_updates(rows, new, ["id", "k"], ["status"]).collect()))) == ["(1, 'x', 'b')", "(1, None, 'A')", "(2, 'x', None)"]
+
+
+def test_summaries_of_wrong_types(spark):
+    full = {"chapter_number": 3, "characters_mentioned": ["a"], "key_events": ["b"], "new_terms": [], "relationships_changed": [{"entity": "e", "change": "c"}], "setting": "s", "tone": "t", "narrative_progression": "n", "is_story_chapter": True}
+    cases = [
+        ({}, ""),
+        ({"chapter_number": "3"}, "schema_invalid: chapter_number must be an integer"),
+        ({"key_events": ["a", 1]}, "schema_invalid: key_events must be a list of strings"),
+        ({"new_terms": "x"}, "schema_invalid: new_terms must be a list of strings"),
+        ({"relationships_changed": ["x", {"entity": 1, "change": "in Chapter 9"}]}, "schema_invalid: relationships_changed[0] must be an object; schema_invalid: relationships_changed[1].entity must be a non-empty string; future_knowledge: references chapter 9 while validating chapter 3"),
+        ({"relationships_changed": {}}, "schema_invalid: relationships_changed must be a list"),
+        ({"tone": None, "setting": "第 4 章 and chapter 4"}, "schema_invalid: tone must be a non-empty string; future_knowledge: references chapter 4 while validating chapter 3"),
+        ({"is_story_chapter": "no"}, "schema_invalid: is_story_chapter must be a boolean"),
+        ({"is_story_chapter": False}, "non_story_chapter_flagged"),
+    ]
+    frame = spark.createDataFrame([(3, json.dumps(full | c, ensure_ascii=False)) for c, _ in cases], "chapter long, payload string")
+    got = summaries.validated_summaries(frame, "payload", "chapter").collect()
+    assert [r.errors for r in got] == [e for _, e in cases] and [r.status for r in got] == ["success"] + ["failed"] * 8
+    bad = spark.createDataFrame([(1, "broken"), (1, None), (1, "[1]")], "chapter long, payload string")
+    assert {r.errors.split(":")[0] for r in summaries.validated_summaries(bad, "payload", "chapter").collect()} == {"schema_invalid"}
