@@ -66,3 +66,20 @@ def test_lineage_over_split_blocks(monkeypatch):
                 known.add(m)
                 lineage.add(m)
                 assert lineage.digest() == hashlib.sha256(b"|".join(sorted(known))).hexdigest()
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_story_equals_a_loop(spark, chapters, every):
+    """No window gathers lines: that was the text of all of them for every chapter."""
+    wanted = {}
+    for release, rows in releases(chapters):
+        lines = []
+        for _, number, content, _ in rows:
+            if content:
+                lines.append(f"第{number}章：{content}")
+                if number % every == 0:
+                    wanted[release, number] = (len("\n".join(lines)), sha("\n".join(lines)))
+    found = summaries.story_so_far(spark.createDataFrame(chapters, SHORTS), every)
+    assert "collect_" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert len(got) == len(wanted) and {(r.release_id, r.chapter_number): (r.n_chars, r.story_hash) for r in got} == wanted
