@@ -13,6 +13,11 @@ Scale. Equal fingerprints (or texts) are one node, so copies cost nothing. A pla
 into pairs of blocks, each a task's group of its own. Where many nodes share a variant (near copies of one text), they are
 linked to the smallest one first; what is then still in different components is compared in a second search of such
 places, which skips what is connected. So neither copies nor near copies make all pairs, and no link is lost.
+
+Pairs that share too little. In a large group most pairs that the second search compares can have too few shingles in
+common, though their bits differ little. There a node brings the parities of its shingles: each shingle flips one bit of
+PARITY. Sets differ by at least as many shingles as their parities differ in bits, so a pair whose parities differ by more
+than its similarity allows is dropped where it is found, and no pair that has the similarity is.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ THIN = 2
 GATHERED, VERIFIED = 60_000, 1 << 18
 #: Rows of a table that may be broadcast: a number or two and a digest each, so about 10 MB.
 BROADCAST_ROWS = 100_000
+#: Bits of a text's parities, a power of two.
+PARITY = 1024
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -83,14 +90,20 @@ def signature(hashes: np.ndarray, words: int) -> tuple[int, ...]:
     return tuple(majority(hashes if i == 0 else _again(hashes, i)) for i in range(words))
 
 
+def parities(different: np.ndarray) -> bytes:
+    """PARITY bits: each tells whether an odd number of the different hashes falls on it."""
+    on = np.bincount((different & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((on & 1).astype(np.uint8)).tobytes()
+
+
 def fingerprint(text: str, shingle: int = 4, words: int = 1) -> tuple[int, ...]:
     """The signature of a text's word shingles."""
     return signature(shingle_hashes(text, shingle), words)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """kept (doc_id and the columns named in `keep`), class (MD5 of the text), n (different shingles), fp0, fp1, ... for every
-    row of docs (doc_id long, text string); null text: empty."""
+    """kept (doc_id and the columns named in `keep`), class (MD5 of the text), n (different shingles), parity (of those), fp0,
+    fp1, ... for every row of docs (doc_id long, text string); null text: empty."""
     names = [f"fp{i}" for i in range(words)]
     common.text_batches(docs.sparkSession)
 
@@ -98,16 +111,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, keep: tuple[
         for whole in common.lean(batches):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found, different = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int32)
+                found, different, parity = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int32), []
                 for row, text in enumerate(batch.column("text")):
                     hashes = shingle_hashes(text.as_py(), shingle)
-                    found[row], different[row] = signature(hashes, words), len(np.unique(hashes))
+                    once = np.unique(hashes)
+                    found[row], different[row] = signature(hashes, words), len(once)
+                    parity.append(parities(once))
                 columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(words)]
-                yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("class"), pa.array(different), *columns], names=["kept", "class", "n", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("class"), pa.array(different), pa.array(parity, pa.binary()), *columns], names=["kept", "class", "n", "parity", *names])
 
     text = common.text_or_empty()
     plain = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("kept"), F.md5(text.cast("binary")).alias("class"), text.alias("text"))
-    schema = plain.select("kept", "class").schema.add("n", "integer")
+    schema = plain.select("kept", "class").schema.add("n", "integer").add("parity", "binary")
     for name in names:
         schema = schema.add(name, "long")
     return plain.mapInArrow(marked, schema)
@@ -164,7 +179,7 @@ def _pairs(left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_siz
         at = to
 
 
-def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarray, block: np.ndarray, prints: np.ndarray, n: np.ndarray, distance: int, similarity: float, all_pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarray, block: np.ndarray, prints: np.ndarray, n: np.ndarray, distance: int, similarity: float, all_pairs: bool, parity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, positions, dense spots): the verified pairs that share a variant, each at the first place it does.
 
     Args:
@@ -173,6 +188,7 @@ def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarr
         prints: rows x words; n: their different shingles. Of a pair the smaller must be `similarity` of the larger or more.
             Pairs under one root are left out. Unless `all_pairs`, the pairs of nodes that have more than DENSE of them under
             one variant, or between two, are those of their smallest nodes, and their spots are reported.
+        parity: rows x words of the parities of their shingles; pairs that these show to lack the similarity are left out.
     """
     number, wild = (spot >> 24).astype(np.int64), (spot & 0xFFF).astype(np.int64)
     half = number % len(_halves())
@@ -229,6 +245,9 @@ def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarr
             different = prints[a] ^ prints[b]
             far = np.bitwise_count(different).sum(axis=1, dtype=np.int32)
             good = (far <= distance) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (root[a] != root[b]) & ((block[a] != block[b]) | (block[a] == 2))
+            if parity is not None:
+                x, y = a[good], b[good]
+                good[good] = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int32) <= allowed(n[x].astype(np.int64) + n[y], similarity)
             if not stands:  # at its first place a pair is given, or its spots are reported: the second search finds it there
                 good[good] = first_shared(different[good]) == number[a[good]]
             left.append(a[good])
@@ -236,6 +255,11 @@ def joined(group: np.ndarray, spot: np.ndarray, node: np.ndarray, root: np.ndarr
     return np.concatenate(left), np.concatenate(right), np.unique(spot[order[head[dense]]])
 
 
+def allowed(both: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles can be in one only of two sets of so many together that have the similarity."""
+    return both * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def thinned(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Which pairs stay: of a node's different links to smaller ones THIN, the smallest."""
     order = np.lexsort((low, high))
@@ -254,13 +278,14 @@ def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0
     once or more; and, with null a and b, the spots at which dense nodes were linked by way of the smallest.
 
     Args:
-        nodes: node long, root long, n int, fp0 long, ...; one row a node.
+        nodes: node long, root long, n int, fp0 long, ..., and parity binary if there is a similarity; one row a node.
         spots: if given, only these (at int) are searched.
         all_pairs: whether dense nodes are compared in pairs too.
     """
     spark = nodes.sparkSession
     prints = [f"fp{i}" for i in range(words)]
-    dealt = nodes.select("node", "root", "n", *prints, F.explode(_spots(words)).alias("spot"))
+    more = ["parity"] if all_pairs and similarity else []
+    dealt = nodes.select("node", "root", "n", *prints, *more, F.explode(_spots(words)).alias("spot"))
     if spots is not None:
         side = F.broadcast(spots) if spots.count() <= BROADCAST_ROWS else spots
         dealt = dealt.join(side, F.col("spot") == F.col("at"), "left_semi")
@@ -278,16 +303,16 @@ def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0
     else:
         dealt = dealt.withColumns({"i": F.lit(0), "j": F.lit(0), "block": F.lit(2)})
     columns = ["place", "i", "j", "block", "spot", "node", "root", "n", *prints]
-    dealt = dealt.select(*columns).repartition(common.shuffle_partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
+    dealt = dealt.select(*columns, *more).repartition(common.shuffle_partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def given(rows: list[np.ndarray]) -> pa.RecordBatch:
-            place, i, j, block, spot, node, root, n, *fps = rows
+            place, i, j, block, spot, node, root, n, *fps = rows[: len(columns)]
             new = (place[1:] != place[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
             group = np.concatenate(([0], np.cumsum(new)))
-            a, b, at = joined(group, spot, node, root, block, np.stack(fps, axis=1).view(np.uint64), n, distance, similarity, all_pairs)
+            a, b, at = joined(group, spot, node, root, block, np.stack(fps, axis=1).view(np.uint64), n, distance, similarity, all_pairs, *rows[len(columns) :])
             low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             if not all_pairs:
                 stay = thinned(low, high)
@@ -300,6 +325,7 @@ def search(nodes: DataFrame, *, words: int, distance: int, similarity: float = 0
 
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            held[-1] += [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in more]
             if sum(len(x[0]) for x in held) < GATHERED:
                 continue
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -409,9 +435,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, words: int = 1, distan
     """
     if words == 1 and distance > 5 and similarity is None:
         raise ValueError("three segments with one wildcard find up to five differing bits")
-    marked = common.materialise(fingerprints(docs, shingle, words, keep), "simhash")
+    marked = fingerprints(docs, shingle, words, keep)
+    marked = common.materialise(marked if similarity else marked.drop("parity"), "simhash")
     by = ["fp0"] if similarity is None and words == 1 else ["class"]
-    prints = [F.first(c).alias(c) for c in ("n", *(f"fp{i}" for i in range(words))) if c not in by]
+    prints = [F.first(c).alias(c) for c in ("n", *(f"fp{i}" for i in range(words)), "parity") if c not in by and (similarity or c != "parity")]
     classes = marked.groupBy(*by).agg(F.min("kept.doc_id").alias("least"), *prints)
     node = F.col("fp0") if by == ["fp0"] else F.monotonically_increasing_id()
     nodes = common.materialise(classes.withColumn("node", node), "simhash-nodes")

@@ -149,6 +149,42 @@ def test_similar_texts(spark):
     assert of["one two"] == of["One  two"] != of["one two three"] and of[""] == of[" "]
 
 
+def test_dense_texts_below_the_similarity(spark):
+    """A large group of texts that all resemble each other, but few of them enough: the second search gives about the pairs
+    that are links, not the square of the group, and every link that it gave without parities."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base, texts = [rng.choice(words) for _ in range(200)], []
+    for i in range(120):
+        copy = list(base if i % 10 else base[:195])
+        for _ in range(1 if i % 10 == 0 else 4):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = simhash.fingerprints(docs, 5, 5).selectExpr("kept.doc_id node", "kept.doc_id root", "*")
+    found = simhash.search(nodes, words=5, distance=60, similarity=0.8, all_pairs=True).where("a is not null").select("a", "b").distinct()
+    got = {(r.a, r.b) for r in found.collect()}
+    prints = [simhash.fingerprint(t, 5, 5) for t in texts]
+    close = {(i, j) for j in range(120) for i in range(j) if sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j])) <= 60}
+    shared = lambda x, y: any((x >> s ^ y >> s) & (1 << b) - 1 in {0, *(1 << k for k in range(b))} for s, b in simhash.SEGMENTS)
+    close = {(i, j) for i, j in close if any(map(shared, prints[i], prints[j]))}
+    links = {(i, j) for i, j in close if jaccard(texts[i], texts[j]) >= 0.8}
+    assert links <= got <= close and len(links) > 50
+    assert len(got) < len(links) + 0.1 * (len(close) - len(links)) and len(close) > 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 3000), max_size=300), st.sets(st.integers(0, 3000), max_size=60), st.sets(st.integers(0, 3000), max_size=60))
+def test_parities_never_exclude_similar_sets(held, more, less):
+    x, y = (np.array(sorted(xxhash.xxh64_intdigest(str(i)) for i in s), np.uint64) for s in (held, (held - less) | more))
+    differ = np.bitwise_count(np.frombuffer(simhash.parities(x), np.uint8) ^ np.frombuffer(simhash.parities(y), np.uint8)).sum()
+    common = len(np.intersect1d(x, y))
+    assert differ <= len(x) + len(y) - 2 * common
+    for similarity in (0.5, 0.8, 1.0):
+        if common * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9:
+            assert differ <= simhash.allowed(len(x) + len(y), similarity)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
